@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.graph import components
-from kaivo.llm.scratch import written
+from kaivo.llm.scratch import small, written
 from kaivo.llm.texts import mixed, slices
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 40, 16, 0.9999
 #: Shingles of one block of a verification task; a task holds two blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def depth_for(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -207,14 +207,16 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tree
     )
     blocks = member.groupBy("grp", "size").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"))
     blocks = blocks.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("size", "nb"))).alias("nbs"))
-    placed = member.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nbs")[F.col("size")]).cast("int"))
+    placed = member.join(small(blocks, 8 * member.count()), "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nbs")[F.col("size")]).cast("int"))
     pairs = F.expr("""
         concat(
             transform(sequence(0, nbs[size] - 1), o -> struct(size as s1, least(b, o) as b1, size as s2, greatest(b, o) as b2, if(b > o, 1, 0) as side)),
             if(nbs[size + 1] is null, array(), transform(sequence(0, nbs[size + 1] - 1), o -> struct(size as s1, b as b1, size + 1 as s2, o as b2, 0 as side))),
             if(nbs[size - 1] is null, array(), transform(sequence(0, nbs[size - 1] - 1), o -> struct(size - 1 as s1, o as b1, size as s2, b as b2, 1 as side)))
         )""")
-    texts = placed.select("grp", "rep", "m", pairs.alias("pairs")).join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    placed = written(placed.select("grp", "rep", "m", pairs.alias("pairs")), "placed")
+    tasks_all = placed.agg(F.sum(F.size("pairs"))).first()[0] or 0
+    texts = docs.withColumnRenamed("doc_id", "rep").join(small(placed, 8 * tasks_all), "rep")
     # rows under one doc_id with different texts are one node: any of them
     sets = _shingled(texts.select("grp", "rep", "m", "pairs", "text"), words).where("length(sh) > 0")
     tasks = sets.select("grp", "rep", "m", "sh", F.explode("pairs").alias("p")).select(F.xxhash64("grp", "p.s1", "p.b1", "p.s2", "p.b2").alias("task"), "rep", F.col("p.side").cast("long").alias("side"), "m", "sh")
@@ -243,8 +245,9 @@ def one_of_each(docs: DataFrame, **how: object) -> DataFrame:
     Rows without a doc_id or without words all stay.
     """
     found = join(docs, **how)
+    found = written(found, "near-duplicates")
     dropped = found.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rest = docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    rest = docs.join(small(dropped, found.where("not kept").count()), docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again_id")), "again")
     if again.isEmpty():
         return rest

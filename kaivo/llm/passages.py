@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import written
+from kaivo.llm.scratch import small, written
 from kaivo.llm.texts import Texts, slices, sliding_min
 
 #: A passage counts from so many words on; a kept suffix is recognised by its first GRAM words.
@@ -107,8 +107,9 @@ def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     suffixes = written(_suffixes(docs, words, gram), "suffixes")
     ordered = suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
-    anchors = _anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    windows = written(_windows(docs.join(anchors, "doc_id").select("doc_id", "at", "text"), words, gram), "windows")
+    anchors = written(_anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at")), "anchors")
+    n = anchors.agg(F.sum(F.size("at") + 2)).first()[0] or 0
+    windows = written(_windows(docs.join(small(anchors, n), "doc_id").select("doc_id", "at", "text"), words, gram), "windows")
     repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     hits = windows.join(repeated, "hash").select("doc_id", "start", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("duplicate"))
     run = F.col("start") - F.dense_rank().over(Window.partitionBy("doc_id", "duplicate").orderBy("start"))
@@ -150,9 +151,9 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     found = written(spans(docs, words), "spans")
     cut = found.where("duplicate").select("doc_id").distinct()
-    own = found.join(cut, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
+    own = found.join(small(cut, found.count()), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
     names = docs.columns
-    joined = docs.join(own, docs["doc_id"].cast("long") == own["span_doc_id"], "left")
+    joined = docs.join(small(own, 4 * found.count()), docs["doc_id"].cast("long") == own["span_doc_id"], "left")
     others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"]
     some = _cut(joined.where("own_spans is not null").select(*others, F.col("own_spans"), F.col("text").cast("string").alias("text"))).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
     some = some.select(*(F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)))

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, written to the folder that all executors share."""
+"""Tables that cut lineage, written to the folder that all executors share; broadcasts behind a check of their size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/kaivo/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+#: A table is broadcast up to so many rows times its widest row's values; beyond that Spark chooses.
+BROADCAST_VALUES = 2_000_000
+
+
+def small(df: DataFrame, values: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than BROADCAST_VALUES ``values`` (numbers), a count that the caller has measured."""
+    return F.broadcast(df) if values <= BROADCAST_VALUES else df
