@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kaivo.llm import langid, mixing, neardup, packing, passages
-from kaivo.llm.scratch import written
+from kaivo.llm.scratch import small, written
 from kaivo.session import reachable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from the labels of these documents themselves.
 
-    A document goes if each of its rows is rejected; a row without a doc_id is judged by its text alone and goes if it is rejected.
+    A doc_id goes if a row of it is rejected; rows without a doc_id stay.
     """
-    found = langid.identify(docs, langid.fit(docs)).where("rejected")
-    gone = found.where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    found = written(langid.identify(docs, langid.fit(docs)).where("rejected and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
+    return docs.join(small(found, found.count()), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
