@@ -17,7 +17,7 @@ def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     denominator = 1 + z * z / m
     centre = (p + z * z / (2 * m)) / denominator
     spread = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / denominator
-    return F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - spread)), F.when(n > 0, F.least(F.lit(1.0), centre + spread))
 
 
 def mcnemar(a: Column, b: Column) -> Column:
