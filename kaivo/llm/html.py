@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kaivo.llm.scratch import bounded
+
 #: Pages of a host that are compared with each other: from GROUP to 2 * GROUP where the host has them, at most BYTES of HTML.
 GROUP, BYTES = 64, 1 << 24
 #: A class needs so many pages, and a share of the group's.
@@ -263,6 +265,6 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
             yield done(held)
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    dealt = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    dealt = bounded(pages).select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     dealt = dealt.repartitionByRange(F.col("host"), F.xxhash64("page_id", "url")).sortWithinPartitions("host", F.xxhash64("page_id", "url"))
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.graph import components
-from kaivo.llm.scratch import small, written
+from kaivo.llm.scratch import bounded, small, written
 from kaivo.llm.texts import mixed, slices
 
 WORDS, THRESHOLD = 5, 0.8
@@ -188,7 +188,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tree
     a null doc_id (kept, with null ids). A repeated row counts as a document of its own under the same id. No row is lost;
     an empty table gives none; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(signatures(docs, words, trees, depth_for(threshold, trees, recall=recall)), "signatures")
     usable = sig.where("n > 0 and doc_id is not null")
     classes = written(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kaivo.llm.scratch import bounded
+
 SEQUENCE = 1024
 #: Tokens held by a task at once; a single document may exceed it.
 BUFFER = 1 << 21
@@ -157,4 +159,4 @@ def pack(docs: DataFrame, capacity: int = SEQUENCE, end_id: int = 0, folder: str
                     held = 0
         yield from flush()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)

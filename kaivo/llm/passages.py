@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import small, written
+from kaivo.llm.scratch import bounded, small, written
 from kaivo.llm.texts import Texts, slices, sliding_min
 
 #: A passage counts from so many words on; a kept suffix is recognised by its first GRAM words.
@@ -104,17 +104,103 @@ def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     that holds the span's first window. Null, empty and shorter texts, and rows without a doc_id, have no spans. Rows under
     one doc_id count as one document, so a repeated row isn't a repetition. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     suffixes = written(_suffixes(docs, words, gram), "suffixes")
     ordered = suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
-    anchors = written(_anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at")), "anchors")
-    n = anchors.agg(F.sum(F.size("at") + 2)).first()[0] or 0
-    windows = written(_windows(docs.join(small(anchors, n), "doc_id").select("doc_id", "at", "text"), words, gram), "windows")
-    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    hits = windows.join(repeated, "hash").select("doc_id", "start", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("duplicate"))
-    run = F.col("start") - F.dense_rank().over(Window.partitionBy("doc_id", "duplicate").orderBy("start"))
-    found = hits.withColumn("run", run).groupBy("doc_id", "duplicate", "run").agg(F.min("start").alias("start_word"), F.max("start").alias("end"), F.min(F.struct("start", "first_doc_id"))["first_doc_id"].alias("first_doc_id"))
-    return found.select("doc_id", F.col("start_word").cast("long").alias("start_word"), (F.col("end") - F.col("start_word") + words).cast("long").alias("n_words"), "duplicate", "first_doc_id")
+    anchors = _anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    # always a shuffle join: a third of a corpus can hold anchors, so neither side is small at any size
+    windows = written(_windows(docs.hint("merge").join(anchors, "doc_id").select("doc_id", "at", "text"), words, gram), "windows")
+    met = written(_met(windows.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start")), "met")
+    # two runs a range at most: what the ends of the ranges hold together
+    ends = met.where("run > 0").groupBy("run", "hash").agg(F.min("first_doc_id").alias("least"), F.max("doc_id").alias("most")).collect()
+    whole: dict[int, tuple[int, int]] = {}
+    for e in ends:
+        lo, hi = whole.get(e["hash"], (e["least"], e["most"]))
+        whole[e["hash"]] = min(lo, e["least"]), max(hi, e["most"])
+    least: list[int | None] = [None] * (1 + max((e["run"] for e in ends), default=0))  # by run; None: in one document only
+    for e in ends:
+        lo, hi = whole[e["hash"]]
+        least[e["run"]] = lo if lo < hi else None
+    first = F.when(F.col("run") == 0, F.col("first_doc_id")).otherwise(F.element_at(F.lit(least).cast("array<long>"), F.col("run") + 1))
+    hits = met.select("doc_id", "start", first.alias("first_doc_id")).where("first_doc_id is not null")
+    return _merged(hits.repartition("doc_id").sortWithinPartitions("doc_id", F.col("doc_id") != F.col("first_doc_id"), "start"), words)
+
+
+def _met(windows: DataFrame) -> DataFrame:
+    """Windows that meet an equal one of another document; windows: sorted within ranges of (hash, doc_id, start).
+
+    hash, doc_id, start, first_doc_id (the smallest that has the window), run. Equal windows stand next to each other; those
+    at either end of a range can go on in the next, so all of them are given, with the smallest doc_id of the range and a
+    number of their run (from 1; else 0).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = 2 * TaskContext.get().partitionId() + 1
+        carry: list[np.ndarray] | None = None
+        first = True
+
+        def judged(cols: list[np.ndarray], end: bool) -> pa.RecordBatch:
+            nonlocal first
+            h, d, at = cols
+            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(new, len(h)))
+            least, most = d[new], d[new + n - 1]
+            ends = np.zeros(len(new), dtype=np.int32)
+            if end:
+                ends[-1] = number + 1
+            if first:
+                ends[0] = number
+            first = False
+            keep = np.repeat((least < most) | (ends > 0), n)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, d, at, np.repeat(least, n), np.repeat(ends, n))], names=["hash", "doc_id", "start", "first_doc_id", "run"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(3)]
+            if carry:
+                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            if cut:
+                yield judged([x[:cut] for x in cols], False)
+            carry = [x[cut:].copy() for x in cols]
+        if carry:
+            yield judged(carry, True)
+
+    return windows.mapInArrow(run, "hash long, doc_id long, start int, first_doc_id long, run int")
+
+
+def _merged(hits: DataFrame, words: int) -> DataFrame:
+    """Maximal spans of overlapping windows; hits: sorted by document, whether it is the first, and start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple | None = None  # doc_id, duplicate, first start, last start, first_doc_id
+
+        def table(rows: list[np.ndarray]) -> pa.RecordBatch:
+            d, dup, lo, hi, f = rows
+            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(lo.astype(np.int64)), pa.array((hi - lo + words).astype(np.int64)), pa.array(dup.astype(bool)), pa.array(f.astype(np.int64))], names=["doc_id", "start_word", "n_words", "duplicate", "first_doc_id"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, at, f = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            dup = (d != f).astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (dup[1:] != dup[:-1]) | (at[1:] > at[:-1] + 1)]))
+            last = np.append(new[1:], len(d)) - 1
+            rows = [d[new], dup[new], at[new], at[last], f[new]]
+            if open_ is not None:
+                if open_[0] == d[0] and open_[1] == dup[0] and at[0] <= open_[3] + 1:
+                    rows[2][0], rows[4][0] = open_[2], open_[4]
+                else:
+                    rows = [np.concatenate([[o], x]) for o, x in zip(open_, rows, strict=True)]
+            open_ = tuple(int(x[-1]) for x in rows)
+            yield table([x[:-1] for x in rows])
+        if open_ is not None:
+            yield table([np.array([x]) for x in open_])
+
+    return hits.mapInArrow(run, "doc_id long, start_word long, n_words long, duplicate boolean, first_doc_id long")
 
 
 def _cut(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kaivo.llm.scratch import bounded
 from kaivo.llm.texts import Texts, slices, sums_by
 
 #: Bound of the sample that orders the rules: so many rows.
@@ -189,7 +190,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE
     skip the cascade and aren't kept. rejected_by: ``base``, a rule that rejects the text (which of several depends on the
     order of the cascade), or null. Repeated rows give repeated rows; an empty table none; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rules = ordered([r["text"] for r in docs.where("text is not null").sample(0.2, seed=11).limit(sample).collect()], rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

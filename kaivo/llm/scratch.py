@@ -33,3 +33,15 @@ BROADCAST_VALUES = 2_000_000
 def small(df: DataFrame, values: int) -> DataFrame:
     """``df`` with a broadcast hint if it has no more than BROADCAST_VALUES ``values`` (numbers), a count that the caller has measured."""
     return F.broadcast(df) if values <= BROADCAST_VALUES else df
+
+
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches from now on hold at most BATCH_BYTES, where the setting has its default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) in ("67108864b", "64MB", "64m"):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import written
+from kaivo.llm.scratch import bounded, written
 
 SHARDS = 8
 #: A group of more than 1 / (SPLIT * shards) of all bytes is split; so at most SPLIT * shards groups are.
@@ -54,7 +54,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     no rows; other columns are ignored. The shards' sizes are near equal: no two differ by more than about a large document.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),

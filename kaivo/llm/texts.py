@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -143,7 +143,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Parts of the batches with at most ``most`` bytes of text, or a single row, and their texts."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.graph import components
-from kaivo.llm.scratch import written
+from kaivo.llm.scratch import bounded, written
 
 THRESHOLD = 0.9
 #: Vectors of a block; rows of a block multiplied at a time.
@@ -109,7 +109,7 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     A repeated row counts as a vector of its own. No row is lost; other columns are ignored.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    rows = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     fine = F.expr("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(double(x)) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     rows = rows.withColumn("h1", F.when(F.col("fine"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("fine"), F.xxhash64(F.lit(7), F.reverse("v"))))
