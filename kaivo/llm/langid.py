@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kaivo.llm.scratch import bounded
 from kaivo.llm.texts import Texts, slices, sums_by
 
 #: Bound of the training sample: so many labelled documents, one window of so many characters of each.
@@ -140,8 +141,11 @@ def sampled(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> tupl
     Only rows with text and lang whose crc32(doc_id as text) mod 4 isn't 2.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 4 <> 2").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    # first by a hash threshold, so that tasks send no more than the sample in all, however many they are
+    share = min(1.0, 1.3 * (sample + 50) / max(rows.select("doc_id", "lang").count(), 1))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     start = F.expr(f"1 + pmod(xxhash64(doc_id, 5), greatest(1, length(text) - {window}))").cast("int")
-    got = rows.select("doc_id", "lang", F.substring("text", start, F.lit(window)).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample).collect()
+    got = rows.select("doc_id", "lang", F.substring("text", start, F.lit(window)).alias("text")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "lang", "text").limit(sample).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
@@ -172,5 +176,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             rejected = (score < (m.threshold if m else 1.0)) | (best == len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[k] for k in best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
