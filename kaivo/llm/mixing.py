@@ -18,7 +18,7 @@ from kaivo.llm.scratch import written
 WEIGHTS, LIMIT = (5, 2, 1), 3
 SEED = "mix-1"
 #: Documents of a bucket of keys.
-BUCKET = 20_000
+BUCKET = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
