@@ -94,9 +94,13 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     held, own = (order[: n // 5], order[n // 5 :]) if n >= 50 else (order, order)
     emb = rng.normal(0, 0.1, (BUCKETS, SIZE))
     layer, bias = np.zeros((SIZE, k)), np.zeros(k)
-    ids, counts = grams(_texts(texts))
-    ends = np.cumsum(counts)
-    rows = [np.unique(ids[e - c : e], return_counts=True) for e, c in zip(ends, counts, strict=True)]
+    rows, counts = [], np.zeros(n, dtype=np.int64)
+    for at in range(0, n, 100):  # in portions, for the driver's memory
+        ids, some = grams(_texts(texts[at : at + 100]))
+        counts[at : at + 100] = some
+        for e, c in zip(np.cumsum(some), some, strict=True):
+            seen, times = np.unique(ids[e - c : e], return_counts=True)
+            rows.append((seen.astype(np.int32), times.astype(np.float32)))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(own), BATCH):
@@ -119,7 +123,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             np.subtract.at(emb, grs, rate * share[:, None] * np.repeat(back, sizes, axis=0))
         rng.shuffle(own)
     model = Model(languages, np.ascontiguousarray((emb @ layer).T.astype(np.float32)), bias)
-    z = model.logits(_texts([texts[d] for d in held]))
+    z = np.concatenate([model.logits(_texts([texts[d] for d in held[at : at + 100]])) for at in range(0, len(held), 100)])
     right = y[held]
 
     def loss(temperature: float) -> float:

@@ -247,9 +247,9 @@ def one_of_each(docs: DataFrame, **how: object) -> DataFrame:
     found = join(docs, **how)
     found = written(found, "near-duplicates")
     dropped = found.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rest = docs.join(small(dropped, found.where("not kept").count()), docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    rest = docs.join(small(dropped, found.where("not kept").count()), docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again_id")), "again")
     if again.isEmpty():
         return rest
-    match = rest["doc_id"].cast("long") == F.col("again_id")
+    match = rest["doc_id"].cast("long") == again["again_id"]
     return rest.join(again, match, "left_anti").unionByName(rest.join(again, match, "left_semi").dropDuplicates(["doc_id"]))

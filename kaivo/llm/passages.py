@@ -239,8 +239,9 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     cut = found.where("duplicate").select("doc_id").distinct()
     own = found.join(small(cut, found.count()), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
     names = docs.columns
-    joined = docs.join(small(own, 4 * found.count()), docs["doc_id"].cast("long") == own["span_doc_id"], "left")
-    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"]
-    some = _cut(joined.where("own_spans is not null").select(*others, F.col("own_spans"), F.col("text").cast("string").alias("text"))).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
-    some = some.select(*(F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)))
-    return joined.where("own_spans is null").select(*(F.col(f"`{c}`") for c in names)).unionByName(some)
+    t, key = names.index("text"), F.col(f"c{names.index('doc_id')}").cast("long")
+    work = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names that can't clash with others here
+    joined = work.join(small(own, 4 * found.count()), key == F.col("span_doc_id"), "left")
+    some = joined.where("own_spans is not null").select(*(f"c{k}" for k in range(len(names)) if k != t), "own_spans", F.col(f"c{t}").cast("string").alias("text"))
+    some = _cut(some).where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumnRenamed("text", f"c{t}")
+    return joined.where("own_spans is null").select(*work.columns).unionByName(some).toDF(*names)
