@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A doc_id goes if a row of it is rejected; rows without a doc_id stay.
     """
     found = written(langid.identify(docs, langid.fit(docs)).where("rejected and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
-    return docs.join(small(found, found.count()), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(small(found, found.count()), docs["doc_id"].cast("long") == found["gone_id"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
