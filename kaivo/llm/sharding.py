@@ -22,6 +22,8 @@ from kaivo.llm.scratch import bounded, written
 SHARDS = 8
 #: A group of more than 1 / (SPLIT * shards) of all bytes is split; so at most SPLIT * shards groups are.
 SPLIT = 64
+#: Weights of bytes, tokens and rows in the dot product: bytes are the law.
+WEIGHTS = (8.0, 1.0, 1.0)
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -31,18 +33,19 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
     capacity = 1.0 / shards
     residual = [[capacity] * 3 for _ in range(shards)]
     out = np.empty(len(sizes), dtype=np.int64)
+    p, q, r = WEIGHTS
     for k, (a, b, c) in enumerate(items.tolist()):
         best, score, fits = 0, -np.inf, False
         for s, (x, y, z) in enumerate(residual):
-            dot = a * x + b * y + c * z
+            dot = p * a * x + q * b * y + r * c * z
             room = a <= x and b <= y and c <= z
             if room > fits or room == fits and dot > score:
                 best, score, fits = s, dot, room
         out[k] = best
-        r = residual[best]
-        r[0] -= a
-        r[1] -= b
-        r[2] -= c
+        left = residual[best]
+        left[0] -= a
+        left[1] -= b
+        left[2] -= c
     return out
 
 
@@ -115,7 +118,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for part in sorted(by_part, key=lambda p: (-max(v[0] for _, v in by_part[p]), p)):
         free = list(range(shards))
         for b, v in sorted(by_part[part], key=lambda x: (-x[1][0], x[0])):
-            s = max(free, key=lambda s: (float((v / whole) @ (1 / shards - load[s] / whole)), -s))
+            s = max(free, key=lambda s: (float((WEIGHTS * v / whole) @ (1 / shards - load[s] / whole)), -s))
             free.remove(s)
             placed.append((part, b, s, int(slots[s])))
             load[s] += v
