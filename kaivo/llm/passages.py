@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import bounded, small, written
+from kaivo.llm.scratch import bounded, held, small, written
 from kaivo.llm.texts import Texts, slices, sliding_min
 
 #: A passage counts from so many words on; a kept suffix is recognised by its first GRAM words.
@@ -105,12 +105,16 @@ def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     one doc_id count as one document, so a repeated row isn't a repetition. Other columns are ignored.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    suffixes = written(_suffixes(docs, words, gram), "suffixes")
+    suffixes = held(_suffixes(docs, words, gram))
     ordered = suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
     anchors = _anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     # always a shuffle join: a third of a corpus can hold anchors, so neither side is small at any size
-    windows = written(_windows(docs.hint("merge").join(anchors, "doc_id").select("doc_id", "at", "text"), words, gram), "windows")
-    met = written(_met(windows.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start")), "met")
+    windows = held(_windows(docs.hint("merge").join(anchors, "doc_id").select("doc_id", "at", "text"), words, gram))
+    try:
+        met = written(_met(windows.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start")), "met")
+    finally:
+        windows.unpersist()
+        suffixes.unpersist()
     # two runs a range at most: what the ends of the ranges hold together
     ends = met.where("run > 0").groupBy("run", "hash").agg(F.min("first_doc_id").alias("least"), F.max("doc_id").alias("most")).collect()
     whole: dict[int, tuple[int, int]] = {}
