@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,27 +209,32 @@ def _merged(hits: DataFrame, words: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the words of ``spans`` (array of start, words, duplicate); docs: row, spans, text."""
+    """``docs`` without the words of ``spans`` (array of start, words, duplicate; null: the row stays as it is); docs: others, spans, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in slices(batches):
-            t.words()
-            texts: list[bytes] = []
-            for k in range(t.n):
-                own = batch.column(batch.num_columns - 2)[k].as_py()
-                drop = np.zeros(t.wn[k], dtype=bool)
-                for s in sorted(own, key=lambda s: not s["duplicate"]):
-                    drop[s["start_word"] : s["start_word"] + s["n_words"]] = s["duplicate"]
-                base, f = t.off[k], t.first[k]
-                text = t.data[base : t.off[k + 1]].tobytes()
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
-                out, at = [], 0
-                for a, b in edge.reshape(-1, 2):
-                    out.append(text[at : t.ws[f + a] - base])
-                    at = t.ws[f + b] - base if b < len(drop) else len(text)
-                out.append(text[at:])
-                texts.append(b"".join(out).rstrip())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names[:-2], "text"])
+            text, own_spans = batch.column(batch.num_columns - 1).cast(pa.string()), batch.column(batch.num_columns - 2)
+            marked = own_spans.is_valid()
+            stays = np.ones(t.n, dtype=bool)
+            if own_spans.null_count < t.n:
+                t.words()
+                texts: list[bytes | None] = []
+                for k in np.flatnonzero(marked.to_numpy(zero_copy_only=False)):
+                    drop = np.zeros(t.wn[k], dtype=bool)
+                    for s in sorted(own_spans[k].as_py(), key=lambda s: not s["duplicate"]):
+                        drop[s["start_word"] : s["start_word"] + s["n_words"]] = s["duplicate"]
+                    stays[k] = not drop.all()
+                    base, f = t.off[k], t.first[k]
+                    whole = t.data[base : t.off[k + 1]].tobytes()
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
+                    out, at = [], 0
+                    for a, b in edge.reshape(-1, 2):
+                        out.append(whole[at : t.ws[f + a] - base])
+                        at = t.ws[f + b] - base if b < len(drop) else len(whole)
+                    out.append(whole[at:])
+                    texts.append(b"".join(out).rstrip())
+                text = pc.replace_with_mask(text, marked, pa.array(texts, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], text], names=[*batch.schema.names[:-2], "text"]).filter(pa.array(stays))
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-2])
     return docs.mapInArrow(run, f"{rest}, text string")
@@ -238,14 +244,16 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs``, all columns, where a repeated passage stays only in the document of smallest doc_id.
 
     The other places' words are cut from the text; a document left without words goes. Others keep their text to the byte.
+    One pass over ``docs``: rows with and without passages go through the same tasks.
     """
     found = written(spans(docs, words), "spans")
+    n = found.count()
     cut = found.where("duplicate").select("doc_id").distinct()
-    own = found.join(small(cut, found.count()), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
+    own = found.join(small(cut, n), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
     names = docs.columns
     t, key = names.index("text"), F.col(f"c{names.index('doc_id')}").cast("long")
-    work = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names that can't clash with others here
-    joined = work.join(small(own, 4 * found.count()), key == F.col("span_doc_id"), "left")
-    some = joined.where("own_spans is not null").select(*(f"c{k}" for k in range(len(names)) if k != t), "own_spans", F.col(f"c{t}").cast("string").alias("text"))
-    some = _cut(some).where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumnRenamed("text", f"c{t}")
-    return joined.where("own_spans is null").select(*work.columns).unionByName(some).toDF(*names)
+    work = bounded(docs).toDF(*(f"c{k}" for k in range(len(names))))  # names that can't clash with others here
+    joined = work.join(small(own, 4 * n), key == F.col("span_doc_id"), "left")
+    rest = [f"c{k}" for k in range(len(names)) if k != t]
+    done = _cut(joined.select(*rest, "own_spans", F.col(f"c{t}").cast("string").alias("text"))).withColumnRenamed("text", f"c{t}")
+    return done.select(*work.columns).toDF(*names)
