@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kaivo.functions import stats as S
 from kaivo.functions import text as T
-from kaivo.operators import evaluate, index, judged, ledger, rank, structure
+from kaivo.operators import contracts, evaluate, index, judged, ledger, rank, structure
 from kaivo.plans import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +445,90 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity").cast("double"), 2).alias("qty"), F.round(F.avg("l_extendedprice").cast("double"), 2).alias("avg_price"))
 
 
+@query
+def effective_date(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of documents that name no day, one, or two."""
+    g = F.pmod("doc_id", F.lit(97))
+    day = F.when(g % 3 == 0, "soon").when(g % 3 == 1, "in force 1.6.2024").otherwise(F.concat(F.lit("in force "), (F.col("doc_id") % 2 + 1).cast("string"), F.lit(".6.2024")))
+    x = contracts.effective_date(_docs(spark, d).select(g.alias("group"), "doc_id", day.alias("text")), "group")
+    return x.select("group", F.col("date").cast("string").alias("day"), "problem")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.col("lang").alias("authority"), F.col("source").alias("clause"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("sub"))
+
+
+@query
+def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.inventory(_chunks(spark, d))
+
+
+@query
+def inventory_problems(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus against a declaration that has one passage more where the language begins with e, and none of another one."""
+    found = contracts.inventory(_chunks(spark, d))
+    pinned = found.where("authority is null or authority <> 'de'").withColumn("chunks", F.col("chunks") + F.when(F.col("authority").startswith("e"), 1).otherwise(0))
+    return contracts.inventory_problems(found, pinned)
+
+
+@query
+def index_report(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.index_report(_docs(spark, d))
+
+
+@query
+def question_problems(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark as questions with labels, some of them broken."""
+    b, k = _asked(spark, d), F.col("item_id") % 5
+    req = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("b@1"))).when(k == 2, F.array(F.lit("a@1"), F.lit("a@1"))).otherwise(F.array(F.lit("a@1")))
+    q = b.select(F.col("item_id").alias("qid"), "text", F.lit("answerable").alias("population"), F.lit("a").alias("authority"), req.alias("required"))
+    r = b.where("item_id % 7 = 0").select((-F.col("item_id") - 1).alias("qid"), "text", F.lit("refusal").alias("population"), F.lit("a").alias("authority"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a@1"))).alias("required"))
+    return contracts.question_problems(q.unionByName(r).unionByName(q.where("qid % 11 = 0").withColumn("text", F.concat(F.lit("again "), "text"))))
+
+
+@query
+def pair_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Equal texts in two languages as pairs: which aren't."""
+    x = _docs(spark, d).where("text is not null").select(F.md5("text").alias("pair"), "text", F.col("lang").alias("authority"))
+    return contracts.pair_problems(x).groupBy("problem").agg(F.count("*").alias("pairs"))
+
+
+@query
+def control_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as known-bad cases of four shapes; all toxic ones count as caught, the others by their number."""
+    return contracts.control_floor(table(spark, d, "labels").select(F.concat_ws("-", "quality", "toxic").alias("shape"), ((F.col("toxic") == 1) | (F.col("doc_id") % 2 == 0)).alias("caught")))
+
+
+@query
+def publication_rule(spark: SparkSession, d: str) -> DataFrame:
+    units, _ = judged.agreement(*_raters(spark, d))
+    per = units.groupBy("field").agg(F.count("*").alias("units"), F.count(F.when(F.col("a").eqNullSafe(F.col("b")), 1)).alias("agreed")).withColumn("pending", F.lit(0))
+    return contracts.publishable(per).drop("pending")
+
+
+@query
+def context_format(spark: SparkSession, d: str) -> DataFrame:
+    """What would be put before a model: bodies of the top three, as a digest."""
+    top = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,), 3)
+    return contracts.contexts(top, index.passages(_docs(spark, d))).select("item_id", "asked_in", "n", "missing", F.sha2("context", 256).alias("context"))
+
+
+@query
+def clause_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents made of two clauses; in each fourth the second heading has the wrong number."""
+    x = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^a-zA-Z]+", " "))
+    second = F.when(F.col("doc_id") % 4 == 0, "3").otherwise("2")
+    made = F.concat(F.lit("front\n1 § Alpha .... 1\n2 § Beta-\nrule ..... 2\n1 § Alpha\nA "), x, F.lit("\n"), second, F.lit(" § Beta\nrule\nB "), x)
+    return structure.split_clauses(structure.sections(_docs(spark, d).select("doc_id", made.alias("text"))))
+
+
+@query
+def definition_units(spark: SparkSession, d: str) -> DataFrame:
+    x = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^a-zA-Z]+", " "))
+    made = F.concat(F.lit("• A  "), x, F.lit("\n • B "), x, F.lit("\n \nC "), x)
+    return structure.definitions(_docs(spark, d).select("doc_id", made.alias("text"))).withColumn("unit", F.col("unit").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 

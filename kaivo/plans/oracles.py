@@ -192,4 +192,23 @@ SQL = {
     "event_properties": "SELECT event_type, count(*) AS events, count(props) AS with_props, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "token_keys": "SELECT o_orderkey, CASE WHEN length(k) = 6 THEN 'AB' || left(k, 2) || '-' || k[3:6] ELSE NULL END AS token FROM (SELECT o_orderkey, left(lpad(o_orderkey::VARCHAR, 6, '0'), 6) AS k FROM orders)",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity)::DOUBLE, 2) AS qty, round(avg(l_extendedprice)::DOUBLE, 2) AS avg_price FROM lineitem GROUP BY 1, 2",
+    "effective_date": """WITH m AS (SELECT doc_id % 97 AS g, CASE doc_id % 97 % 3 WHEN 1 THEN '2024-06-01' WHEN 2 THEN '2024-06-0' || (doc_id % 2 + 1) END AS day FROM documents)
+        SELECT g AS "group", CASE WHEN min(day) = max(day) THEN min(day) END AS day, CASE WHEN min(day) IS NULL THEN 'no date' WHEN min(day) < max(day) THEN 'several dates' END AS problem FROM m GROUP BY 1""",
+    "corpus_inventory": "SELECT lang AS authority, count(DISTINCT source) AS clauses, count(*) AS chunks, count(source) FILTER (doc_id % 3 = 0) AS definitions FROM documents GROUP BY 1",
+    "inventory_problems": "SELECT lang AS authority, CASE WHEN lang = 'de' THEN 'undeclared' ELSE 'chunks ' || count(*) || ' for ' || (count(*) + 1) END AS problem FROM documents WHERE lang = 'de' OR lang LIKE 'e%' GROUP BY 1",
+    "index_report": f"""WITH {INDEX}, t AS (SELECT unnest({words("text")}) AS w FROM documents), n AS (SELECT count(*) AS tokens, count(*) FILTER (w IN {_STOP}) AS stopped, count(DISTINCT w) AS forms FROM t)
+        SELECT analyser, any_value(tokens) AS tokens, any_value(stopped) AS stopped, any_value(forms) AS forms, count(DISTINCT lexeme) AS lexemes, count(*) AS positions FROM occ, n GROUP BY 1""",
+    "question_problems": """SELECT item_id AS qid, 'nothing required' AS problem FROM benchmark WHERE item_id % 5 = 0 UNION SELECT item_id, 'passage of another jurisdiction' FROM benchmark WHERE item_id % 5 = 1
+        UNION SELECT item_id, 'passage required twice' FROM benchmark WHERE item_id % 5 = 2 UNION SELECT item_id, 'repeated id' FROM benchmark WHERE item_id % 11 = 0
+        UNION SELECT -item_id - 1, 'refusal with passages' FROM benchmark WHERE item_id % 14 = 0 UNION SELECT -item_id - 1, 'text in both populations' FROM benchmark WHERE item_id % 7 = 0
+        UNION SELECT item_id, 'text in both populations' FROM benchmark WHERE text IN (SELECT text FROM benchmark WHERE item_id % 7 = 0)""",
+    "pair_problems": """WITH p AS (SELECT count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE text IS NOT NULL GROUP BY text)
+        SELECT CASE WHEN n <> 2 THEN 'not two rows' ELSE 'one jurisdiction' END AS problem, count(*) AS pairs FROM p WHERE n <> 2 OR langs <> 2 GROUP BY 1""",
+    "control_floor": """SELECT shape, count(*) AS total, count(*) FILTER (caught) AS caught, bool_and(coalesce(caught, false)) AS passed FROM (SELECT concat_ws('-', quality, toxic) AS shape, toxic = 1 OR doc_id % 2 = 0 AS caught FROM labels) GROUP BY ROLLUP (shape)""",
+    "publication_rule": f"WITH {_RATERS}, n AS (SELECT field, count(*) AS units, count(*) FILTER (same) AS agreed FROM units GROUP BY 1) SELECT *, round(agreed / units, 6) AS rate, agreed / units >= 0.85 AS published FROM n",
+    "context_format": f"""WITH {hits(3, f"{_CONTROL} AND norm = 0")} SELECT item_id, asked_in, count(*) AS n, count(*) FILTER (text IS NULL) AS missing, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY position)) AS context FROM hit LEFT JOIN documents USING (doc_id) GROUP BY 1, 2""",
+    "clause_split": """WITH x AS (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 80), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest([1, 2]) AS clause FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN clause END AS clause, CASE WHEN doc_id % 4 > 0 THEN CASE clause WHEN 1 THEN 'Alpha' ELSE 'Beta- rule' END END AS title, CASE WHEN doc_id % 4 > 0 THEN trim(chr(64 + clause) || ' ' || x) END AS text,
+            CASE WHEN doc_id % 4 = 0 THEN '1 clauses of 2 found' END AS problem FROM x WHERE doc_id % 4 > 0 OR clause = 1""",
+    "definition_units": """SELECT doc_id, unit, trim(chr((65 + unit)::INT) || ' ' || x) AS text FROM (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 80), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest(range(3)) AS unit FROM documents)""",
 }

@@ -161,3 +161,29 @@ def test_entry_and_registry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_contracts(spark):
+    from kaivo.operators import contracts
+
+    q = [(1, "x", "answerable", "a", ["a@1"]), (2, "y", "answerable", "a", []), (3, "z", "answerable", "a", ["b@1", "b@1"]), (4, "x", "refusal", "a", None), (5, "v", "refusal", "a", ["a@1"]), (5, "u", "answerable", "ab", ["a@1"])]
+    found = contracts.question_problems(spark.createDataFrame(q, "qid long, text string, population string, authority string, required array<string>"))
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "text in both populations"), (2, "nothing required"), (3, "passage of another jurisdiction"), (3, "passage required twice"), (4, "text in both populations"),
+        (5, "passage of another jurisdiction"), (5, "refusal with passages"), (5, "repeated id"),
+    ]
+    pairs = spark.createDataFrame([("p", "t", "a"), ("p", "t", "b"), ("q", "t", "a"), ("r", "t", "a"), ("r", "u", "b"), ("s", "t", "a"), ("s", "t", "a")], "pair string, text string, authority string")
+    assert sorted(map(tuple, contracts.pair_problems(pairs).collect())) == [("q", "not two rows"), ("r", "different texts"), ("s", "one jurisdiction")]
+    days = spark.createDataFrame([("a", 1, "from 1.2.2024"), ("a", 2, None), ("b", 1, "31.2.2024"), ("c", 1, "1.2.2024"), ("c", 2, "2.2.2024")], "source string, doc_id long, text string")
+    assert {r.source: (str(r.date), r.problem) for r in contracts.effective_date(days, "source").collect()} == {"a": ("2024-02-01", None), "b": ("None", "no date"), "c": ("None", "several dates")}
+    empty = spark.createDataFrame([], "shape string, caught boolean")
+    assert not any(r.passed for r in contracts.control_floor(empty).collect())
+    assert {(r.shape, r.passed) for r in contracts.control_floor(spark.createDataFrame([("s", True), ("t", None)], empty.schema)).collect()} == {("s", True), ("t", False), (None, False)}
+    rates = spark.createDataFrame([(20, 17, 0), (20, 16, 0), (20, 20, 1), (0, 0, 0)], "units long, agreed long, pending int")
+    assert [r.published for r in contracts.publishable(rates).collect()] == [True, False, False, False]
+    counted = contracts.inventory(spark.createDataFrame([("a", 1, None), ("a", 1, "s"), ("b", 1, None)], "authority string, clause int, sub string"))
+    pinned = spark.createDataFrame([("a", 1, 3, 1), ("c", 1, 1, 0)], counted.schema)
+    assert sorted(map(tuple, contracts.inventory_problems(counted, pinned).collect())) == [("a", "chunks 2 for 3"), ("b", "undeclared"), ("c", "missing")]
+    hits = spark.createDataFrame([(1, "a", 2, 7), (1, "a", 1, 8), (1, "a", 3, 9)], "item_id long, asked_in string, position int, doc_id long")
+    (one,) = contracts.contexts(hits, spark.createDataFrame([(7, "seven"), (8, "eight")], "doc_id long, body string")).collect()
+    assert (one.n, one.missing, one.context) == (3, 1, "eight\n\nseven\n\n")
