@@ -5,7 +5,8 @@ text blocks with their path. Tokens that occur equally often on each page of the
 vector and so form an equivalence class. Classes that occur on most pages, in one order and properly nested,
 are the host's template; what lies between neighbouring template tags are its slots. Text that is itself a
 template token (a notice on every page) belongs to the template, and of the slots those inside the host's
-content element are extracted. A host with too few pages has no template: there the structure alone decides.
+content element are extracted. Copies of one content count as one page, and template text never fills a whole slot. A host
+with too few contents has no template: there the structure alone decides.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from kaivo.llm.scratch import bounded
 GROUP, BYTES = 64, 1 << 24
 #: A class needs so many pages, and a share of the group's.
 SUPPORT, SHARE = 4, 0.6
+#: Pages that share so much of their unmarked text are copies of one content, which counts once towards a class.
+SAME = 0.9
 
 # Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -201,9 +204,35 @@ def template(pages: list[list[str]]) -> set[str]:
     return out
 
 
+def distinct(pages: list[list[Block]]) -> list[int]:
+    """The first page of each content: copies, be they exact or with another line beside the article, add no support."""
+    out: list[int] = []
+    totals: list[int] = []
+    seen: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)  # block: content, characters
+    for k, blocks in enumerate(pages):
+        own: Counter = Counter()
+        for b in blocks:
+            if not b.off:
+                own[b.path, b.text] += len(b.text)
+        total, shared = sum(own.values()), [0] * len(out)
+        for block, size in own.items():
+            for i, other in seen.get(block, ()):
+                shared[i] += min(size, other)
+        if not any(s >= SAME * max(total, t) for s, t in zip(shared, totals, strict=True)):
+            for block, size in own.items():
+                seen[block].append((len(out), size))
+            out.append(k)
+            totals.append(total)
+    return out
+
+
 def main_text(blocks: list[Block], fixed: set[str]) -> str:
-    """The main text of one page: its blocks in content slots, without the template's own text."""
-    free = [b for b in blocks if not b.off and f"{b.path} {b.text}" not in fixed]
+    """The main text of one page: its blocks in content slots, without the template's own text, which never is all of them."""
+    unmarked = [b for b in blocks if not b.off]
+    slot = [b for b in unmarked if b.main] or unmarked
+    if all(f"{b.path} {b.text}" in fixed for b in slot):
+        fixed = set()
+    free = [b for b in unmarked if f"{b.path} {b.text}" not in fixed]
     inside: Counter = Counter()
     for b in free:
         if b.main:
@@ -227,7 +256,7 @@ def main_text(blocks: list[Block], fixed: set[str]) -> str:
 def extract_group(pages: list[str | None]) -> list[str]:
     """Main texts of some pages of one host."""
     parsed = [parse(p or "") for p in pages]
-    fixed = template([t for _, t in parsed])
+    fixed = template([parsed[k][1] for k in distinct([b for b, _ in parsed])])
     return [main_text(b, fixed) for b, _ in parsed]
 
 

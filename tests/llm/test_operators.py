@@ -105,6 +105,17 @@ def test_html_extraction(spark):
     assert html.extract(odd.limit(0)).count() == 0
 
 
+def test_copies_of_an_article_are_not_its_hosts_template():
+    text = "Title {0}\n\nFirst & para {0} goes on\n\nSecond {0} para"
+    assert html.extract_group([PAGE.format(1)] * 6) == [text.format(1) + "\n\nRead more on our site"] * 6
+    copies = [PAGE.format("copied" * 20).replace("Sign up", f"Sign up {i}").replace("<p>Read", f"<p>Seen {i} times</p><p>Read") for i in range(14)]
+    got = html.extract_group(copies + [PAGE.format(i) for i in range(6)])
+    assert got[:14] == [text.format("copied" * 20) + f"\n\nSeen {i} times" for i in range(14)]
+    assert got[14:] == [text.format(i) for i in range(6)]
+    only = [f"<article><p>All there is</p></article><p>Beside {i}</p>" for i in range(8)]
+    assert html.extract_group(only) == ["All there is"] * 8
+
+
 def test_template_classes_are_ordered_and_nested():
     pages = [["a", "b", f"x{i}", "c", "d"] for i in range(6)]
     assert html.template(pages) == {"a", "b", "c", "d"}
