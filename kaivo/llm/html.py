@@ -38,44 +38,58 @@ BLOCK = {
 }
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "legend", "summary", "figcaption"} | {"li", "dd", "dt"}
 NEVER = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "svg", "math", "object", "canvas", "audio", "video", "menu", "dialog", "textarea", "title", "search", "noembed", "noframes", "xmp"}
-#: Words of class, id and role values that mark what isn't the article.
+#: Class, id and role names that mark what isn't the article; a name may join several, as in cookie-notice.
 NOT_MAIN = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside",
     "complementary", "footer", "contentinfo", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments",
     "commentlist", "respond", "replies", "reply", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "widget", "widgets", "pagination", "pager", "search", "toolbar", "dialog", "tags",
 }
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Elements whose class and id may mark them, and names that inside an article are part of its text (callouts, kinds of section).
+CONTAINER = {"div", "section", "center", "header", "details", "fieldset", "hgroup", "ul", "ol", "dl", "dir", "table"}
+OF_ARTICLE = {"notice", "notices", "alert", "side", "discussion", "menu", "dialog", "search", "banner"}
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Block:
-    """A text block: its words, its path, and whether it lies in an element that is never main text."""
+    """A text block: its words, its path, whether it lies in an element that is never main text, and whether in an article or main element."""
 
     __slots__ = ("text", "path", "off", "main")
 
-    def __init__(self, text: str, path: str, off: bool, main: str):
+    def __init__(self, text: str, path: str, off: bool, main: bool):
         self.text, self.path, self.off, self.main = text, path, off, main
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element isn't main text by its attributes; its role in a path."""
+def _names(value: str, of_article: bool) -> bool:
+    """Whether one of the names in a class or id value consists of NOT_MAIN words only."""
+    for name in value.split():
+        words = [x for x in re.split(r"[-_\d]+", name) if x]
+        if words and NOT_MAIN.issuperset(words) and not (of_article and OF_ARTICLE.issuperset(words)):
+            return True
+    return False
+
+
+def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether the element isn't main text by its attributes; its role in a path. In an article ids are its sections' anchors and mark nothing."""
     off, label = False, name
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for key, value in _MARK.findall(attributes):
+    if "=" in attributes or "hidden" in attributes:
+        for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"' ").lower()
             if key == "style":
                 off |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif key == "hidden":
-                off |= not re.search(r"-hidden", attributes)
+                off = True
             elif key == "aria-hidden":
                 off |= value == "true"
-            else:
-                words = re.split(r"[^a-z]+", value)
-                off |= not NOT_MAIN.isdisjoint(words)
-                if key == "role" and value == "main":
+            elif key == "role":
+                off |= not NOT_MAIN.isdisjoint(value.split())
+                if value == "main":
                     label = "main"
-                elif key == "class":
+            elif key in ("class", "id"):
+                if name in CONTAINER and not (key == "id" and in_article):
+                    off |= _names(value, in_article)
+                if key == "class":
                     label += "." + re.sub(r"\d+", "#", value)
     return off and name not in ("html", "body", "article", "main"), label
 
@@ -94,7 +108,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         held.clear()
         if text:
             path = "/".join(x[2] for x in stack)
-            main = next((x[2] for x in reversed(stack) if x[0] in ("article", "main") or x[2].startswith("main")), "")
+            main = any(x[0] in ("article", "main") or x[2].startswith("main") for x in stack)
             blocks.append(Block(text, path, any(x[1] for x in stack), main))
             tokens.append(f"{path} {text}")
 
@@ -131,7 +145,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                     while stack and stack[-1][0] in ("td", "th", "tr"):
                         stack.pop()
                 if name not in VOID and not attributes.endswith("/"):
-                    off, label = _marked(name, attributes)
+                    off, label = _marked(name, attributes, any(x[0] == "article" for x in stack))
                     off |= name in NEVER or name == "header" and not any(x[0] in ("article", "main") for x in stack)
                     if name in ("article", "main"):
                         mains += 1
@@ -141,7 +155,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             elif name == "br":
                 held.append(" ")
             elif name not in VOID and attributes and not attributes.endswith("/"):
-                off, label = _marked(name, attributes)
+                off, label = _marked(name, attributes, False)  # no container: its class and id don't count
                 if off:
                     end_block()
                     stack.append((name, True, label))
@@ -227,30 +241,13 @@ def distinct(pages: list[list[Block]]) -> list[int]:
 
 
 def main_text(blocks: list[Block], fixed: set[str]) -> str:
-    """The main text of one page: its blocks in content slots, without the template's own text, which never is all of them."""
-    unmarked = [b for b in blocks if not b.off]
-    slot = [b for b in unmarked if b.main] or unmarked
-    if all(f"{b.path} {b.text}" in fixed for b in slot):
-        fixed = set()
-    free = [b for b in unmarked if f"{b.path} {b.text}" not in fixed]
-    inside: Counter = Counter()
-    for b in free:
-        if b.main:
-            inside[b.main] += len(b.text)
-    if inside:
-        best = inside.most_common(1)[0][0]
-        free = [b for b in free if b.main == best]
-    elif free:  # no article or main element: the densest part of the tree that holds most of the text
-        weight: Counter = Counter()
-        for b in free:
-            steps = b.path.split("/")
-            for i in range(1, len(steps) + 1):
-                weight["/".join(steps[:i])] += len(b.text)
-        total = sum(len(b.text) for b in free)
-        root = max((p for p, w in weight.items() if w >= 0.7 * total), key=lambda p: p.count("/"))
-        root = root.rsplit("/", 1)[0] if re.search(r"/(p|h[1-6]|li)(\.[^/]*)?$", root) else root
-        free = [b for b in free if b.path == root or b.path.startswith(root + "/")]
-    return "\n\n".join(b.text for b in free)
+    """The main text of one page: all unmarked blocks of its content slots, without the template's own text, which never is all of them.
+
+    The slots are what lies in article and main elements; of a page without unmarked text in such, all of it.
+    """
+    free = [b for b in blocks if not b.off]
+    free = [b for b in free if b.main] or free
+    return "\n\n".join(b.text for b in [b for b in free if f"{b.path} {b.text}" not in fixed] or free)
 
 
 def extract_group(pages: list[str | None]) -> list[str]:

@@ -116,6 +116,19 @@ def test_copies_of_an_article_are_not_its_hosts_template():
     assert html.extract_group(only) == ["All there is"] * 8
 
 
+def test_all_unmarked_text_of_the_slots_is_kept():
+    def one(page):
+        return html.extract_group([page])[0].split("\n\n")
+
+    assert one("<div>Out</div><main><h1>Title</h1><p>Lede</p><article><p>Long text of it</article><div class=sidebar>Side</div></main>") == ["Title", "Lede", "Long text of it"]
+    assert one("<article><p>The longer part</p></article><article><p>Part</p></article>") == ["The longer part", "Part"]
+    assert one("<body><h1>Title</h1><div class=content><p>Text that is long<p>and goes on</div><div><p>More</div>") == ["Title", "Text that is long", "and goes on", "More"]
+    assert one(f"<h1>Title</h1><p>Before</p><pre>{'code ' * 50}</pre><p>After</p>") == ["Title", "Before", ("code " * 50).strip(), "After"]
+    assert one("<h1 class='post tags'>T</h1><div class='ad-free related-work'><p id=search>A</p></div><p data-id=nav title='so hidden'>B <span class=notice>C</span></p>") == ["T", "A", "B C"]
+    assert one("<article><section id=discussion><p>A</section><div class=notice>B</div><div class='x social-share'>C</div></article>") == ["A", "B"]
+    assert one("<p>A</p><div id=cookie-notice>B</div><div class='x comments'>C</div><p hidden>D</p><div role=navigation>E</div>") == ["A"]
+
+
 def test_template_classes_are_ordered_and_nested():
     pages = [["a", "b", f"x{i}", "c", "d"] for i in range(6)]
     assert html.template(pages) == {"a", "b", "c", "d"}
