@@ -12,17 +12,21 @@ with too few contents has no template: there the structure alone decides.
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import tempfile
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import bounded
+from kaivo.llm.scratch import bounded, small, written
 
-#: Pages of a host that are compared with each other: from GROUP to 2 * GROUP where the host has them, at most BYTES of HTML.
+#: Different pages of a host that are compared with each other: all up to 2 * GROUP, else on average from GROUP to 2 * GROUP, whatever
+#: their size; beyond BYTES their blocks lie in a temporary file.
 GROUP, BYTES = 64, 1 << 24
 #: A class needs so many pages, and a share of the group's.
 SUPPORT, SHARE = 4, 0.6
@@ -177,7 +181,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     return blocks, tokens
 
 
-def template(pages: list[list[str]]) -> set[str]:
+def template(pages: Sequence[Sequence[Hashable]]) -> set:
     """Tokens of the template of these pages' token sequences: the valid, nested equivalence classes.
 
     A token's occurrence vector is its count on each page. A class is valid if its tokens stand in the same order on
@@ -186,15 +190,15 @@ def template(pages: list[list[str]]) -> set[str]:
     n = len(pages)
     if n < SUPPORT:
         return set()
-    vectors: dict[str, dict[int, int]] = defaultdict(dict)
+    vectors: dict[Hashable, dict[int, int]] = defaultdict(dict)
     for k, tokens in enumerate(pages):
         for token, count in Counter(tokens).items():
             vectors[token][k] = count
-    classes: dict[tuple, list[str]] = defaultdict(list)
+    classes: dict[tuple, list[Hashable]] = defaultdict(list)
     for token, vector in vectors.items():
         if len(vector) >= max(SUPPORT, SHARE * n):
             classes[tuple(sorted(vector.items()))].append(token)
-    out: set[str] = set()
+    out: set = set()
     frame: list[tuple[int, ...]] = []
     for vector, members in sorted(classes.items(), key=lambda x: (-len(x[0]), -len(x[1]))):
         if any(count != vector[0][1] for _, count in vector):
@@ -218,79 +222,138 @@ def template(pages: list[list[str]]) -> set[str]:
     return out
 
 
-def distinct(pages: list[list[Block]]) -> list[int]:
-    """The first page of each content: copies, be they exact or with another line beside the article, add no support."""
+def distinct(keys: list[np.ndarray], sizes: list[np.ndarray]) -> list[int]:
+    """The first page of each content: copies, be they exact or with another line beside the article, add no support.
+
+    keys, sizes: each page's different unmarked blocks and their characters; a page without any has no content.
+    """
     out: list[int] = []
-    totals: list[int] = []
-    seen: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)  # block: content, characters
-    for k, blocks in enumerate(pages):
-        own: Counter = Counter()
-        for b in blocks:
-            if not b.off:
-                own[b.path, b.text] += len(b.text)
-        total, shared = sum(own.values()), [0] * len(out)
-        for block, size in own.items():
-            for i, other in seen.get(block, ()):
-                shared[i] += min(size, other)
-        if not any(s >= SAME * max(total, t) for s, t in zip(shared, totals, strict=True)):
-            for block, size in own.items():
-                seen[block].append((len(out), size))
-            out.append(k)
-            totals.append(total)
+    values, codes = np.unique(np.concatenate(keys), return_inverse=True)
+    off = np.cumsum([0, *map(len, keys)])
+    own = np.zeros(len(values), dtype=np.int64)
+    totals = np.array([x.sum() for x in sizes])
+    kept_codes, kept_sizes, starts, n = np.empty_like(codes), np.empty(len(codes), dtype=np.int64), [], 0
+    for k, size in enumerate(sizes):
+        if not len(size):
+            continue
+        mine = codes[off[k] : off[k + 1]]
+        if out:
+            own[mine] = size
+            shared = np.add.reduceat(np.minimum(own[kept_codes[:n]], kept_sizes[:n]), starts)
+            own[mine] = 0
+            if (shared >= SAME * np.maximum(totals[out], totals[k])).any():
+                continue
+        out.append(k)
+        starts.append(n)
+        kept_codes[n : n + len(mine)], kept_sizes[n : n + len(mine)] = mine, size
+        n += len(mine)
     return out
 
 
-def main_text(blocks: list[Block], fixed: set[str]) -> str:
+def main_text(blocks: list[tuple[str, int, bool]], fixed: set[int]) -> str:
     """The main text of one page: all unmarked blocks of its content slots, without the template's own text, which never is all of them.
 
-    The slots are what lies in article and main elements; of a page without unmarked text in such, all of it.
+    blocks: text, token and whether in a main or article element. The slots are what lies in such elements; of a page
+    without unmarked text in them, all of it.
     """
-    free = [b for b in blocks if not b.off]
-    free = [b for b in free if b.main] or free
-    return "\n\n".join(b.text for b in [b for b in free if f"{b.path} {b.text}" not in fixed] or free)
+    free = [b for b in blocks if b[2]] or blocks
+    return "\n\n".join(b[0] for b in [b for b in free if b[1] not in fixed] or free)
+
+
+class Group:
+    """Pages of one host: hashes of their tokens, and their unmarked blocks in memory or in a temporary file."""
+
+    def __init__(self) -> None:
+        self.tokens: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.blocks = tempfile.SpooledTemporaryFile(max_size=BYTES)
+
+    def add(self, page: str) -> None:
+        blocks, tokens = parse(page)
+        free = [(b.text, hash(f"{b.path} {b.text}"), b.main) for b in blocks if not b.off]
+        own: Counter = Counter()
+        for text, key, _ in free:
+            own[key] += len(text)
+        self.tokens.append(np.array([hash(t) for t in tokens], dtype=np.int64))
+        self.keys.append(np.array(list(own.keys()), dtype=np.int64))
+        self.sizes.append(np.array(list(own.values()), dtype=np.int64))
+        pickle.dump(free, self.blocks, pickle.HIGHEST_PROTOCOL)
+
+    def texts(self) -> Iterator[str]:
+        """Main texts of the pages in turn; closes the group."""
+        fixed: set[int] = set()
+        some = [self.tokens[k] for k in distinct(self.keys, self.sizes)] if len(self.tokens) >= SUPPORT else []
+        if len(some) >= SUPPORT:  # tokens on too few pages form no class
+            values, n = np.unique(np.concatenate([np.unique(t) for t in some]), return_counts=True)
+            often = values[n >= max(SUPPORT, SHARE * len(some))]
+            fixed = template([t[np.isin(t, often)].tolist() for t in some])
+        with self.blocks:
+            self.blocks.seek(0)
+            for _ in self.tokens:
+                yield main_text(pickle.load(self.blocks), fixed)
 
 
 def extract_group(pages: list[str | None]) -> list[str]:
     """Main texts of some pages of one host."""
-    parsed = [parse(p or "") for p in pages]
-    fixed = template([parsed[k][1] for k in distinct([b for b, _ in parsed])])
-    return [main_text(b, fixed) for b, _ in parsed]
+    group = Group()
+    for p in pages:
+        group.add(p or "")
+    return list(group.texts())
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html).
 
     Null HTML is an empty page, whose text is empty. A null or odd URL makes a host of its own kind. Repeated rows give
-    repeated rows; other columns are ignored. Pages are dealt out by range of (host, hash of the page), so that a host
-    with a third of all pages spreads over many tasks; a task holds one group at a time.
+    repeated rows; other columns are ignored. Each host's different pages are dealt by their hash to buckets of from
+    ``group`` to twice as many on average, and a bucket is compared as a whole: texts depend on the host's pages alone, not
+    on partitions or sizes, and a host with a third of all pages spreads over many tasks. Equal pages of a host share a bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        bucket, last = None, None
+        held: list[tuple] = []  # page_id, url, number of the page in the group
+        pages = Group()
 
-        def done(some: list[tuple]) -> pa.RecordBatch:
-            texts = extract_group([x[3] for x in some])
+        def table(some: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
+                [pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.string()), pa.array([x[2] for x in some], pa.string()), pa.array([len(x[2]) for x in some], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
+        def done() -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            size, at, text = 0, -1, ""
+            texts = pages.texts()
+            for page_id, url, k in held:
+                if k != at:
+                    at, text = k, next(texts)
+                out.append((page_id, url, text))
+                size += len(text) + 100
+                if size > BYTES // 4:
+                    yield table(out)
+                    out, size = [], 0
+            if out:
+                yield table(out)
+
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
-                row = tuple(x.as_py() for x in row)
-                if held and held[-1][0] != row[0]:
-                    yield done(held)
-                    held, size = [], 0
-                elif len(held) >= 2 * group or size > BYTES and len(held) >= 2:
-                    k = group if len(held) >= 2 * group else len(held)
-                    yield done(held[:k])
-                    held, size = held[k:], sum(len(x[3] or "") for x in held[k:])
-                held.append(row)
-                size += len(row[3] or "")
+            for row in zip(*(batch.column(i) for i in range(5)), strict=True):
+                host, b, page_id, url, page = (x.as_py() for x in row)
+                if held and bucket != (host, b):
+                    yield from done()
+                    held, pages = [], Group()
+                if not held or page != last:
+                    pages.add(page or "")
+                bucket, last = (host, b), page
+                held.append((page_id, url, len(pages.tokens) - 1))
         if held:
-            yield done(held)
+            yield from done()
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    dealt = bounded(pages).select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    dealt = dealt.repartitionByRange(F.col("host"), F.xxhash64("page_id", "url")).sortWithinPartitions("host", F.xxhash64("page_id", "url"))
+    rows = bounded(pages).select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    different = rows.select("host", F.xxhash64("html").alias("h")).distinct().groupBy("host").agg(F.floor(F.count("*") / group).alias("n"))
+    many = written(different.where("n > 1").select(F.col("host").alias("of"), "n"), "hosts")
+    dealt = rows.join(small(many, 2 * many.count()), rows["host"] == many["of"], "left")
+    dealt = dealt.select("host", F.pmod(F.xxhash64("html"), F.coalesce("n", F.lit(1))).alias("bucket"), "page_id", "url", "html")
+    dealt = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", F.xxhash64("html"))
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")

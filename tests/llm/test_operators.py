@@ -129,6 +129,22 @@ def test_all_unmarked_text_of_the_slots_is_kept():
     assert one("<p>A</p><div id=cookie-notice>B</div><div class='x comments'>C</div><p hidden>D</p><div role=navigation>E</div>") == ["A"]
 
 
+def test_texts_depend_on_neither_partitions_nor_page_size(spark):
+    rows = [(i, f"http://h{i % 5}/{i}", PAGE.format(i)) for i in range(30)] + [(i, f"http://big/{i}", PAGE.format(i)) for i in range(100, 400)]
+    rows += rows[:1] * 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = Counter((i, f"Title {i}\n\nFirst & para {i} goes on\n\nSecond {i} para") for i, _, _ in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert Counter((r.page_id, r.text) for r in html.extract(df.repartition(n), group=16).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    long = spark.range(6).selectExpr("id AS page_id", "'http://l/' || id AS url", "'<article><p>Own ' || id || '<p>' || repeat(id || ' ', 4500000) || '<p>Read more on our site</article>' AS html")
+    assert html.extract(long).where("text like 'Own%' and text not like '%Read more%' and n_chars > 9000000").count() == 6
+
+
 def test_template_classes_are_ordered_and_nested():
     pages = [["a", "b", f"x{i}", "c", "d"] for i in range(6)]
     assert html.template(pages) == {"a", "b", "c", "d"}
