@@ -125,7 +125,10 @@ def compare(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: list[np
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """rep, links, root of each task; rows: task, rep, side, m, sh (its shingles, 8 bytes each), sorted by task within partitions."""
+    """rep, links, root of each task; rows: task, rep, side, m, own, sh (its shingles, 8 bytes each), sorted by task within partitions.
+
+    own: whether the task compares a block with itself. Any other compares two blocks, of which one may have no members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -134,12 +137,9 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
         def close() -> None:
             if len(held) > 1:
                 ids, side, m = (np.array([x[k] for x in held], dtype=np.int64) for k in (1, 2, 3))
-                if side.min() == side.max():
-                    if side[0]:
-                        return
-                elif not (side == 0).any():
+                if not held[0][4] and side.min() == side.max():
                     return
-                links, root = compare(ids, side, m, [x[4] for x in held], threshold)
+                links, root = compare(ids, side, m, [x[5] for x in held], threshold)
                 keep = links > 0
                 out.append((ids[keep], links[keep], root[keep]))
 
@@ -147,7 +147,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64)) for k in range(3)], names=["rep", "links", "root"])
 
         for batch in batches:
-            task, rep, side, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            task, rep, side, m, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             for k in range(len(task)):
                 if held and held[-1][0] != task[k]:
                     close()
@@ -157,7 +157,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                         out.clear()
                 if held and held[-1][1:3] == (rep[k], side[k]):
                     continue  # a repeated row
-                held.append((task[k], rep[k], side[k], m[k], np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.uint64)))
+                held.append((task[k], rep[k], side[k], m[k], own[k], np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint64)))
         close()
         yield table()
 
@@ -219,7 +219,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tree
     texts = docs.withColumnRenamed("doc_id", "rep").join(small(placed, 8 * tasks_all), "rep")
     # rows under one doc_id with different texts are one node: any of them
     sets = _shingled(texts.select("grp", "rep", "m", "pairs", "text"), words).where("length(sh) > 0")
-    tasks = sets.select("grp", "rep", "m", "sh", F.explode("pairs").alias("p")).select(F.xxhash64("grp", "p.s1", "p.b1", "p.s2", "p.b2").alias("task"), "rep", F.col("p.side").cast("long").alias("side"), "m", "sh")
+    tasks = sets.select("grp", "rep", "m", "sh", F.explode("pairs").alias("p")).select(F.xxhash64("grp", "p.s1", "p.b1", "p.s2", "p.b2").alias("task"), "rep", F.col("p.side").cast("long").alias("side"), "m", F.expr("p.s1 = p.s2 and p.b1 = p.b2").alias("own"), "sh")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "side", "rep")
     verified = written(_verified(tasks, threshold), "verified")
 

@@ -223,6 +223,14 @@ def test_against_sql(spark, name):
     assert Counter(close(r) for r in got.collect()) == Counter(close(r) for r in want.fetchall())
 
 
+def test_links_of_documents_longer_than_a_block_count_once(spark):
+    words = [f"w{i}" for i in range(300)]
+    for k in (0, 7):  # two or three copies with another last word, dealt to as many blocks, of which one is empty
+        made = [(100 * k + i, " ".join([*words, f"x{i}"])) for i in range(2 + k % 3)]
+        got = neardup.join(spark.createDataFrame(made, "doc_id long, text string"), block=300).collect()
+        assert [(r.n_links, r.component_id) for r in got] == [(len(made) - 1, 100 * k)] * len(made)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     odd = odd_documents(spark)
     got = neardup.join(odd)
