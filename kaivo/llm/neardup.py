@@ -1,9 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH banding, then exact verification.
 
 Documents with the same set of 5-word shingles form one class, found by hash; only one representative of a
-class goes on. Each tree of the forest orders representatives by a signature of minima; a node of its prefix
-trie at depth d holds those that agree on d of them. The prefix is shortened from DEPTH until TREES tries find a
-pair at the threshold with the target probability. A node isn't expanded into pairs: its members are linked to the
+class goes on. Each of TREES bands keys representatives by some minima: as many, DEPTH at most, as still find a
+pair at the threshold with the target probability. A key isn't expanded into pairs: its members are linked to the
 smallest, linked nodes are joined into candidate groups, and within a group every pair that its sizes allow is
 compared on the full shingle sets. Work is dealt out by (group, size class, block), so a large group is many tasks,
 and tasks return a count per document and a spanning forest, never pairs.
