@@ -1,11 +1,15 @@
 """Repeated passages by a sparse suffix array.
 
 Of each text the suffixes are kept that start at a minimiser: in every run of WORDS words at least one 16-word gram
-is the least of its neighbours, and equal runs choose the same one. The kept suffixes are sorted by what they start
-with, dealt out by range, and each is compared with its neighbours; those that start alike are anchors of possible
-matches (so are those at the ends of a range, whose neighbours are elsewhere). Then each anchor is extended left and
-right: the WORDS-word windows around it are hashed, and those found in two documents are repeated. This is exact up to
-hash equality: a repeated window holds an anchor. Windows in turn merge to maximal spans.
+is the least of its neighbours, and equal runs choose the same one. The kept suffixes are sorted by their words (each word a
+16-bit key, so that the order is one of word sequences), dealt out by range, and each is compared with its neighbours: those
+with GRAM words in common are anchors of possible matches (so are those at the ends of a range, whose neighbours are elsewhere).
+Then anchors are extended left and right, to the WORDS-word windows that chose them. Extending neighbours alone would miss
+matches whose best partner on the left isn't a neighbour on the right, so a window looks for its equal among all: windows are
+sorted by 96 bits of hash and compared with their neighbours in turn. Equal windows of two documents are repeated; at 1e13 windows
+less than one false equality in a thousand such corpora is to be expected. Windows merge to maximal spans.
+
+A document is a doc_id. Where rows share one but have different texts, a row's ``version`` (its text's hash; else 0) tells them apart.
 """
 
 from __future__ import annotations
@@ -15,129 +19,152 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.scratch import bounded, held, small, written
-from kaivo.llm.texts import Texts, slices, sliding_min
+from kaivo.llm.texts import Texts, mixed, slices, sliding_min
 
 #: A passage counts from so many words on; a kept suffix is recognised by its first GRAM words.
 WORDS, GRAM = 50, 16
 
 
-def minimisers(t: Texts, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in the slice's words) of the kept suffixes, and the hashes of their first ``gram`` words."""
+def again(docs: DataFrame, doc_id: Column) -> DataFrame | None:
+    """again_id: ids of more than one row; None if there is none. Reads the ids alone."""
+    found = written(docs.groupBy(doc_id.alias("again_id")).agg(F.count("*").alias("rows")).where("again_id is not null and rows > 1").select("again_id"), "again-ids")
+    n = found.count()
+    return small(found, n) if n else None
+
+
+def versioned(docs: DataFrame, doc_id: Column, text: Column, ids: DataFrame | None) -> DataFrame:
+    """``docs`` and ``version``: 0, or the text's hash if doc_id is one of ``ids``."""
+    if ids is None:
+        return docs.withColumn("version", F.lit(0).cast("long"))
+    return docs.join(ids, doc_id == ids["again_id"], "left").withColumn("version", F.when(F.col("again_id").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0))).drop("again_id")
+
+
+def _least(t: Texts, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each run of ``words`` words of one row, and the position of its minimiser: the kept suffix."""
     at, g = t.grams(gram)
     w = words - gram + 1
     if len(at) < w:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     packed = (g >> np.uint64(32) << np.uint64(32)) | np.arange(len(g), dtype=np.uint64)
     least = sliding_min(packed, w)
-    inside = at[w - 1 :] - at[: len(at) - w + 1] == w - 1
-    inside &= t.wd[at[w - 1 :]] == t.wd[at[: len(at) - w + 1]]
-    picked = np.unique((least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return at[picked], g[picked]
+    first, last = at[: len(at) - w + 1], at[w - 1 :]
+    inside = (last - first == w - 1) & (t.wd[last] == t.wd[first])
+    return first[inside], at[(least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def _suffixes(docs: DataFrame, words: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in slices(batches):
             t.hashed_words()
-            at, g = minimisers(t, words, gram)
+            at = np.unique(_least(t, words, gram)[1])
             rows = t.wd[at]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array((at - t.first[rows]).astype(np.int32))], names=["suffix", "doc_id", "at"])
+            keys = (t.h >> np.uint64(48)).astype(">u2")[at[:, None] + np.arange(gram)]
+            ends = np.arange(len(at) + 1, dtype=np.int32) * np.int32(2 * gram)
+            suffix = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(keys.tobytes())])
+            yield pa.RecordBatch.from_arrays([suffix, *(batch.column(k).take(pa.array(rows)) for k in (0, 1)), pa.array((at - t.first[rows]).astype(np.int32))], names=["suffix", "doc_id", "version", "at"])
+
+    return docs.mapInArrow(run, "suffix binary, doc_id long, version long, at int")
 
-    return docs.mapInArrow(run, "suffix long, doc_id long, at int")
 
+def _keys(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) bytes of a binary column whose values all have that length."""
+    _, off, data = column.buffers()
+    at = int(np.frombuffer(off, dtype=np.int32, count=1, offset=4 * column.offset)[0])
+    return np.frombuffer(data, dtype=np.uint8, count=len(column) * width, offset=at).reshape(-1, width)
 
-def _anchors(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose neighbour starts alike; suffixes: sorted within ranges."""
+
+def _anchors(suffixes: DataFrame, gram: int) -> DataFrame:
+    """The suffixes that have ``gram`` words in common with a neighbour; suffixes: sorted within ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None  # the last row, until its right neighbour is seen
-        before: int | None = None  # the suffix of the row left of it
-        first = True
+        before = True  # whether that row is alike its left neighbour; true of the first, whose neighbour is elsewhere
         for batch in batches:
             if not batch.num_rows:
                 continue
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            s = batch.column(0).to_numpy()
-            same = s[1:] == s[:-1]
-            hit = np.concatenate([[before is not None and before == s[0] or first], same[:-1] if len(same) else []]) if len(s) > 1 else np.zeros(0)
-            hit = hit.astype(bool) | same if len(s) > 1 else np.zeros(0, dtype=bool)
-            yield batch.slice(0, len(s) - 1).filter(pa.array(hit)).select(["doc_id", "at"])
-            if len(s) > 1:
-                before, first = s[-2], False
+            s = _keys(batch.column(0), 2 * gram)
+            alike = (s[1:] == s[:-1]).all(axis=1)
+            hit = np.concatenate([[before], alike])[:-1] | alike
+            yield batch.slice(0, len(s) - 1).filter(pa.array(hit, pa.bool_())).select(["doc_id", "version", "at"])
+            before = bool(alike[-1]) if len(alike) else before
             last = batch.slice(len(s) - 1)
         if last is not None:
-            yield last.select(["doc_id", "at"])
+            yield last.select(["doc_id", "version", "at"])
 
-    return suffixes.mapInArrow(run, "doc_id long, at int")
+    return suffixes.mapInArrow(run, "doc_id long, version long, at int")
 
 
 def _windows(anchored: DataFrame, words: int, gram: int) -> DataFrame:
-    """hash, doc_id, start of the windows around anchors; anchored: doc_id, at (array), text."""
+    """hash, proof, doc_id, version, start of the windows that chose an anchor; anchored: doc_id, version, at (array), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in slices(batches):
             t.hashed_words()
-            at, g = t.grams(words)
-            lists = batch.column(1)
-            anchors = lists.flatten().to_numpy() + np.repeat(t.first, lists.value_lengths().to_numpy())
-            mark = np.zeros(len(t.wd) + 2, dtype=np.int32)
-            np.add.at(mark, np.maximum(anchors - (words - gram), 0), 1)
-            np.add.at(mark, np.minimum(anchors + 1, len(t.wd)), -1)
-            near = np.cumsum(mark)[: len(t.wd)] > 0
-            some = near[at]
-            at, g = at[some], g[some]
+            start, chosen = _least(t, words, gram)
+            lists = batch.column(2)
+            anchor = np.zeros(len(t.wd) + 1, dtype=bool)
+            anchor[lists.flatten().to_numpy() + np.repeat(t.first, lists.value_lengths().to_numpy())] = True
+            near = anchor[chosen]
+            _, g = t.grams(words)  # at the same starts
+            at, g = start[near], g[near]
+            # a second hash, of other values for the words
+            t.h = mixed(t.h ^ np.uint64(0x5851F42D4C957F2D))
+            proof = (t.grams(words)[1][near] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rows = t.wd[at]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array((at - t.first[rows]).astype(np.int32))], names=["hash", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(proof), *(batch.column(k).take(pa.array(rows)) for k in (0, 1)), pa.array((at - t.first[rows]).astype(np.int32))], names=["hash", "proof", "doc_id", "version", "start"])
 
-    return anchored.mapInArrow(run, "hash long, doc_id long, start int")
+    return anchored.mapInArrow(run, "hash long, proof int, doc_id long, version long, start int")
 
 
 def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """Maximal passages of ``words`` words or more that stand in two documents or more: one row for each place.
 
-    doc_id; start_word and n_words (words are ``[^\\x20\\x09-\\x0D]+``, from 0); duplicate: false where each window's smallest
-    doc_id is this one, so that keeping those and dropping the others loses no passage; first_doc_id: the smallest doc_id
+    doc_id; version; start_word and n_words (words are ``[^\\x20\\x09-\\x0D]+``, from 0); duplicate: false where each window's
+    smallest doc_id is this one, so that keeping those and dropping the others loses no passage; first_doc_id: the smallest doc_id
     that holds the span's first window. Null, empty and shorter texts, and rows without a doc_id, have no spans. Rows under
-    one doc_id count as one document, so a repeated row isn't a repetition. Other columns are ignored.
+    one doc_id count as one document, so a repeated row, or a passage that only they share, isn't a repetition; those of different
+    texts have their own spans, told apart by version. Other columns are ignored; an empty table gives none.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    suffixes = held(_suffixes(docs, words, gram))
-    ordered = suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
-    anchors = _anchors(ordered).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    docs = versioned(docs, F.col("doc_id"), F.col("text"), again(docs, F.col("doc_id"))).select("doc_id", "version", "text")
+    ordered = _suffixes(docs, words, gram).repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
+    anchors = _anchors(ordered, gram).groupBy("doc_id", "version").agg(F.collect_list("at").alias("at"))
     # always a shuffle join: a third of a corpus can hold anchors, so neither side is small at any size
-    windows = held(_windows(docs.hint("merge").join(anchors, "doc_id").select("doc_id", "at", "text"), words, gram))
+    windows = held(_windows(docs.hint("merge").join(anchors, ["doc_id", "version"]).select("doc_id", "version", "at", "text"), words, gram))
+    order = ["hash", "proof", "doc_id", "version", "start"]
     try:
-        met = written(_met(windows.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start")), "met")
+        met = written(_met(windows.repartitionByRange("hash", "proof", "doc_id", "start").sortWithinPartitions(*order)), "met")
     finally:
         windows.unpersist()
-        suffixes.unpersist()
     # two runs a range at most: what the ends of the ranges hold together
-    ends = met.where("run > 0").groupBy("run", "hash").agg(F.min("first_doc_id").alias("least"), F.max("doc_id").alias("most")).collect()
-    whole: dict[int, tuple[int, int]] = {}
+    ends = met.where("run > 0").groupBy("run", "hash", "proof").agg(F.min("first_doc_id").alias("least"), F.max("doc_id").alias("most")).collect()
+    whole: dict[tuple[int, int], tuple[int, int]] = {}
     for e in ends:
-        lo, hi = whole.get(e["hash"], (e["least"], e["most"]))
-        whole[e["hash"]] = min(lo, e["least"]), max(hi, e["most"])
+        lo, hi = whole.get((e["hash"], e["proof"]), (e["least"], e["most"]))
+        whole[e["hash"], e["proof"]] = min(lo, e["least"]), max(hi, e["most"])
     least: list[int | None] = [None] * (1 + max((e["run"] for e in ends), default=0))  # by run; None: in one document only
     for e in ends:
-        lo, hi = whole[e["hash"]]
+        lo, hi = whole[e["hash"], e["proof"]]
         least[e["run"]] = lo if lo < hi else None
     first = F.when(F.col("run") == 0, F.col("first_doc_id")).otherwise(F.element_at(F.lit(least).cast("array<long>"), F.col("run") + 1))
-    hits = met.select("doc_id", "start", first.alias("first_doc_id")).where("first_doc_id is not null")
-    return _merged(hits.repartition("doc_id").sortWithinPartitions("doc_id", F.col("doc_id") != F.col("first_doc_id"), "start"), words)
+    hits = met.select("doc_id", "version", "start", first.alias("first_doc_id")).where("first_doc_id is not null")
+    return _merged(hits.repartition("doc_id", "version").sortWithinPartitions("doc_id", "version", F.col("doc_id") != F.col("first_doc_id"), "start"), words)
 
 
 def _met(windows: DataFrame) -> DataFrame:
-    """Windows that meet an equal one of another document; windows: sorted within ranges of (hash, doc_id, start).
+    """Windows that meet an equal one of another document; windows: sorted within ranges of (hash, proof, doc_id, start).
 
-    hash, doc_id, start, first_doc_id (the smallest that has the window), run. Equal windows stand next to each other; those
-    at either end of a range can go on in the next, so all of them are given, with the smallest doc_id of the range and a
-    number of their run (from 1; else 0).
+    hash, proof, doc_id, version, start, first_doc_id (the smallest that has the window), run. Equal windows stand next to each
+    other; those at either end of a range can go on in the next, so all of them are given, with the smallest doc_id of the range and
+    a number of their run (from 1; else 0).
     """
+    names = ["hash", "proof", "doc_id", "version", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,8 +175,8 @@ def _met(windows: DataFrame) -> DataFrame:
 
         def judged(cols: list[np.ndarray], end: bool) -> pa.RecordBatch:
             nonlocal first
-            h, d, at = cols
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, p, d = cols[:3]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]))
             n = np.diff(np.append(new, len(h)))
             least, most = d[new], d[new + n - 1]
             ends = np.zeros(len(new), dtype=np.int32)
@@ -159,45 +186,46 @@ def _met(windows: DataFrame) -> DataFrame:
                 ends[0] = number
             first = False
             keep = np.repeat((least < most) | (ends > 0), n)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, d, at, np.repeat(least, n), np.repeat(ends, n))], names=["hash", "doc_id", "start", "first_doc_id", "run"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*cols, np.repeat(least, n), np.repeat(ends, n))], names=[*names, "first_doc_id", "run"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy() for k in range(3)]
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if carry:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = len(last) - int(last.sum())  # the last run may go on
             if cut:
                 yield judged([x[:cut] for x in cols], False)
             carry = [x[cut:].copy() for x in cols]
         if carry:
             yield judged(carry, True)
 
-    return windows.mapInArrow(run, "hash long, doc_id long, start int, first_doc_id long, run int")
+    return windows.select(*names).mapInArrow(run, "hash long, proof int, doc_id long, version long, start int, first_doc_id long, run int")
 
 
 def _merged(hits: DataFrame, words: int) -> DataFrame:
-    """Maximal spans of overlapping windows; hits: sorted by document, whether it is the first, and start."""
+    """Maximal spans of overlapping windows; hits: sorted by document, version, whether it is the first, and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: tuple | None = None  # doc_id, duplicate, first start, last start, first_doc_id
+        open_: tuple | None = None  # doc_id, version, duplicate, first start, last start, first_doc_id
 
         def table(rows: list[np.ndarray]) -> pa.RecordBatch:
-            d, dup, lo, hi, f = rows
-            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(lo.astype(np.int64)), pa.array((hi - lo + words).astype(np.int64)), pa.array(dup.astype(bool)), pa.array(f.astype(np.int64))], names=["doc_id", "start_word", "n_words", "duplicate", "first_doc_id"])
+            d, v, dup, lo, hi, f = (np.asarray(x, dtype=np.int64) for x in rows)
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(v), pa.array(lo), pa.array(hi - lo + words), pa.array(dup.astype(bool)), pa.array(f)], names=["doc_id", "version", "start_word", "n_words", "duplicate", "first_doc_id"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, at, f = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            d, v, at, f = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
             dup = (d != f).astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (dup[1:] != dup[:-1]) | (at[1:] > at[:-1] + 1)]))
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (dup[1:] != dup[:-1]) | (at[1:] > at[:-1] + 1)]))
             last = np.append(new[1:], len(d)) - 1
-            rows = [d[new], dup[new], at[new], at[last], f[new]]
+            rows = [d[new], v[new], dup[new], at[new], at[last], f[new]]
             if open_ is not None:
-                if open_[0] == d[0] and open_[1] == dup[0] and at[0] <= open_[3] + 1:
-                    rows[2][0], rows[4][0] = open_[2], open_[4]
+                if open_[:3] == (d[0], v[0], dup[0]) and at[0] <= open_[4] + 1:
+                    rows[3][0], rows[5][0] = open_[3], open_[5]
                 else:
                     rows = [np.concatenate([[o], x]) for o, x in zip(open_, rows, strict=True)]
             open_ = tuple(int(x[-1]) for x in rows)
@@ -205,7 +233,7 @@ def _merged(hits: DataFrame, words: int) -> DataFrame:
         if open_ is not None:
             yield table([np.array([x]) for x in open_])
 
-    return hits.mapInArrow(run, "doc_id long, start_word long, n_words long, duplicate boolean, first_doc_id long")
+    return hits.mapInArrow(run, "doc_id long, version long, start_word long, n_words long, duplicate boolean, first_doc_id long")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -243,17 +271,19 @@ def _cut(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs``, all columns, where a repeated passage stays only in the document of smallest doc_id.
 
-    The other places' words are cut from the text; a document left without words goes. Others keep their text to the byte.
-    One pass over ``docs``: rows with and without passages go through the same tasks.
+    The other places' words are cut from the text; a document left without words goes. Others keep their text to the byte, as do
+    rows without a doc_id. Rows under one doc_id are cut each by its own text's spans. One pass over ``docs``: rows with and without
+    passages go through the same tasks. An empty table gives none.
     """
     found = written(spans(docs, words), "spans")
     n = found.count()
-    cut = found.where("duplicate").select("doc_id").distinct()
-    own = found.join(small(cut, n), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
+    cut = found.where("duplicate").select("doc_id", "version").distinct()
+    own = found.join(small(cut, 2 * n), ["doc_id", "version"], "left_semi").groupBy(F.col("doc_id").alias("span_doc_id"), F.col("version").alias("span_version")).agg(F.collect_list(F.struct("start_word", "n_words", "duplicate")).alias("own_spans"))
     names = docs.columns
     t, key = names.index("text"), F.col(f"c{names.index('doc_id')}").cast("long")
     work = bounded(docs).toDF(*(f"c{k}" for k in range(len(names))))  # names that can't clash with others here
-    joined = work.join(small(own, 4 * n), key == F.col("span_doc_id"), "left")
+    marked = versioned(work, key, F.col(f"c{t}").cast("string"), again(work, key))
+    joined = marked.join(small(own, 5 * n), (key == F.col("span_doc_id")) & (F.col("version") == F.col("span_version")), "left")
     rest = [f"c{k}" for k in range(len(names)) if k != t]
     done = _cut(joined.select(*rest, "own_spans", F.col(f"c{t}").cast("string").alias("text"))).withColumnRenamed("text", f"c{t}")
     return done.select(*work.columns).toDF(*names)
