@@ -3,39 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kaivo.llm import langid, mixing, neardup, packing, passages
-from kaivo.llm.scratch import small, written
+from kaivo.llm.scratch import written
 from kaivo.session import reachable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from the labels of these documents themselves.
 
-    A doc_id goes if a row of it is rejected; rows without a doc_id stay.
+    Each row is judged by its own text: null and letterless texts go, whatever their ids; repeated rows share one verdict. Other
+    columns stay as they are. Without a labelled text there is no model, and all rows go; an empty table gives none.
     """
-    found = written(langid.identify(docs, langid.fit(docs)).where("rejected and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
-    return docs.join(small(found, found.count()), docs["doc_id"].cast("long") == found["gone_id"], "left_anti")
+    return langid.recognised(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one of smallest doc_id."""
+    """One row of each component of near duplicates: the one of smallest doc_id (rows without one come last).
+
+    Rows that share a doc_id are judged by their own texts; of equal rows one stays. Wordless texts all stay.
+    """
     return neardup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that a document of smaller doc_id has too."""
+    """Documents without the passages of 50 words or more that a document of smaller doc_id has too.
+
+    A document left without words goes; null, empty and short texts, and rows without a doc_id, stay to the byte.
+    """
     return passages.without_repeats(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
+    """Documents as often as the mix to target weights takes them; null is a source of its own, wordless texts come once.
+
+    Repeated rows have one key, and a cut among them takes the same share of each.
+    """
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null or empty text is its end id alone, and each repeated row is packed by itself."""
     return packing.pack(docs)
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.scratch import bounded
@@ -157,28 +157,51 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return train(*sampled(docs, sample))
 
 
+def _judged(model: Model | None, t: Texts, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language (its number; the one after the last: unknown), score and whether it is rejected, of each text."""
+    unknown = len(model.languages) if model else 0
+    if model is None:
+        return np.zeros(t.n, dtype=np.int64), np.zeros(t.n), np.ones(t.n, dtype=bool)
+    p = model.scores(t)
+    best = np.where(letters, p.argmax(axis=1), unknown)
+    score = np.where(letters, p.max(axis=1), 0.0).round(9)  # the last bits depend on what else is in the batch
+    return best, score, (score < model.threshold) | (best == unknown)
+
+
+def _letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of ``docs`` (doc_id, text), from its whole text.
 
-    lang_pred: a language of the model, ``und`` (score 0, rejected) for a text that is null or has no letter, or without a
-    model. score: the calibrated probability. rejected: score below the model's threshold. Repeated rows give repeated rows;
-    an empty table none; other columns are ignored.
+    lang_pred: a language of the model, ``und`` (score 0, rejected) for a text that is null or has no letter. Without a model (no
+    labelled text to learn from) all are ``und``. score: the calibrated probability. rejected: score below the model's threshold.
+    Repeated rows give repeated rows; an empty table none; other columns are ignored.
     """
     names = [*(model.languages if model else []), UNKNOWN]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * BUCKETS * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch, t in slices(batches):
-            letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            if m is None:
-                best, score = np.zeros(t.n, dtype=np.int64), np.zeros(t.n)
-            else:
-                p = m.scores(t)
-                best = np.where(letters, p.argmax(axis=1), len(names) - 1)
-                score = np.where(letters, p.max(axis=1), 0.0)
-            rejected = (score < (m.threshold if m else 1.0)) | (best == len(names) - 1)
+            best, score, rejected = _judged(shared.value, t, batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[k] for k in best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    text = F.col("text").cast("string")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _letters(text).alias("letters"), text.alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language isn't rejected: each by its own text, whatever its doc_id. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in slices(batches):
+            rejected = _judged(shared.value, t, batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool))[2]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(~rejected))
+
+    names = docs.columns
+    work = bounded(docs).toDF(*(f"c{k}" for k in range(len(names))))  # names that can't clash with others here
+    text = F.col(f"c{names.index('text')}").cast("string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.schema.fields)
+    return work.select(*work.columns, _letters(text).alias("letters"), text.alias("text")).mapInArrow(run, schema).toDF(*names)

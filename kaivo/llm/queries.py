@@ -41,7 +41,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of every passage of 50 words or more that stands in two documents."""
-    return passages.spans(_table(spark, sf_dir, "documents"))
+    return passages.spans(_table(spark, sf_dir, "documents")).drop("version")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,42 +75,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 _SHINGLES = rf"""
-sh0 AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+row AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+sh0 AS MATERIALIZED (SELECT r, {_WORDS} AS w FROM row WHERE text IS NOT NULL),
 sh AS MATERIALIZED (
-    SELECT DISTINCT doc_id, hash(s) AS s FROM (
-        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, chr(32))]
+    SELECT DISTINCT r, hash(s) AS s FROM (
+        SELECT r, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, chr(32))]
             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(32))) END) AS s
         FROM sh0)),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY 1),
 link AS MATERIALIZED (
-    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
-    JOIN n n1 ON n1.doc_id = a JOIN n n2 ON n2.doc_id = b WHERE c / (n1.n + n2.n - c) >= 0.8)"""
+    SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2) p
+    JOIN n n1 ON n1.r = a JOIN n n2 ON n2.r = b WHERE c / (n1.n + n2.n - c) >= 0.8)"""
 
 ORACLE = {
     "op4_embedding_neardup": """
-WITH RECURSIVE e AS MATERIALIZED (
-    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH RECURSIVE m AS MATERIALIZED (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings),
+e AS MATERIALIZED (
+    SELECT r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM m
     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
-reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM link) UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT m.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.c, m.vec_id) AS component_id, coalesce(c.c, m.vec_id) = m.vec_id AS kept
-FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) k ON k.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) c ON c.a = m.vec_id
+link AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM e x JOIN e y ON x.r <> y.r AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM link) UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS r, min(vec_id) AS c FROM reach JOIN m ON m.r = b GROUP BY 1)
+SELECT m.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.c, m.vec_id) AS component_id, coalesce(c.c, m.vec_id) IS NOT DISTINCT FROM m.vec_id AS kept
+FROM m LEFT JOIN (SELECT a AS r, count(*) AS n FROM link GROUP BY 1) k USING (r) LEFT JOIN least c USING (r)
 """,
     "op5_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
-same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h1, h2, n) AS class_id FROM (SELECT doc_id, count(*) AS n, sum(s::HUGEINT) AS h1, bit_xor(hash(s, 7)) AS h2 FROM sh GROUP BY 1)),
-reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM link) UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT d.doc_id, coalesce(s.class_id, d.doc_id) AS class_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
-FROM documents d LEFT JOIN same s USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) k ON k.a = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) c ON c.a = d.doc_id
+same AS (SELECT r, min(doc_id) OVER (PARTITION BY h1, h2, n) AS class_id FROM (SELECT r, count(*) AS n, sum(s::HUGEINT) AS h1, bit_xor(hash(s, 7)) AS h2 FROM sh GROUP BY 1) JOIN row USING (r)),
+reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM link) UNION SELECT x.a, l.b FROM reach x JOIN link l ON x.b = l.a),
+least AS (SELECT a AS r, min(doc_id) AS c FROM reach JOIN row ON row.r = b GROUP BY 1)
+SELECT d.doc_id, coalesce(s.class_id, d.doc_id) AS class_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM row d LEFT JOIN same s USING (r) LEFT JOIN n USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM link GROUP BY 1) k USING (r) LEFT JOIN least c USING (r)
 """,
     "op6_suffix_array_dedup": rf"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, text, any_value(w) AS w FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) GROUP BY 1, 2),
 win AS MATERIALIZED (
-    SELECT doc_id, i - 1 AS start, hash(array_to_string(w[i:i + 49], chr(32))) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    SELECT doc_id, t, i - 1 AS start, hash(array_to_string(w[i:i + 49], chr(32))) AS h FROM (SELECT doc_id, md5(text) AS t, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 rep AS (SELECT h, min(doc_id) AS first_doc_id FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
-hit AS (SELECT DISTINCT doc_id, start, first_doc_id, doc_id <> first_doc_id AS duplicate FROM win JOIN rep USING (h)),
-run AS (SELECT *, start - row_number() OVER (PARTITION BY doc_id, duplicate ORDER BY start) AS run FROM hit)
-SELECT doc_id, min(start)::BIGINT AS start_word, (max(start) - min(start) + 50)::BIGINT AS n_words, duplicate, arg_min(first_doc_id, start) AS first_doc_id FROM run GROUP BY doc_id, duplicate, run
+hit AS (SELECT DISTINCT doc_id, t, start, first_doc_id, doc_id <> first_doc_id AS duplicate FROM win JOIN rep USING (h)),
+run AS (SELECT *, start - row_number() OVER (PARTITION BY doc_id, t, duplicate ORDER BY start) AS run FROM hit)
+SELECT doc_id, min(start)::BIGINT AS start_word, (max(start) - min(start) + 50)::BIGINT AS n_words, duplicate, arg_min(first_doc_id, start) AS first_doc_id FROM run GROUP BY doc_id, t, duplicate, run
 """,
     "op3_quality_rules": rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, coalesce({_WORDS}, []) AS w FROM documents),

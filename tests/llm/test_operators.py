@@ -185,16 +185,16 @@ def test_embeddings_against_brute_force(spark):
     made = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     extra = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] + [1.0] * 15), (1004, []), (1005, [1.0, 2.0]), (None, made[0][1]), (1006, [1e-30] * 16), (1007, [3e37] * 16)]
     df = spark.createDataFrame(made + extra, "vec_id long, embedding array<float>")
-    got = {r.vec_id: r for r in vectors.join(df, block=32).collect() if r.vec_id is not None}
-    y = np.concatenate([x.astype(np.float64), np.ones((2, 16))])
+    got = {r.vec_id: r for r in vectors.join(df.withColumns({"rep": F.lit(1), "m": F.lit(2)}), block=32).collect()}
+    y = np.concatenate([x.astype(np.float64), np.ones((2, 16)), x[:1].astype(np.float64)])
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    ids = [*range(len(x)), 1006, 1007]
+    ids = [*range(len(x)), 1006, 1007, None]
     near = (y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)
     label = np.arange(len(y))
     for _ in range(len(y)):
         label = np.minimum(label, np.where(near, label[None, :], len(y)).min(axis=1))
     for i, k in enumerate(ids):
-        assert (got[k].n_links, got[k].component_id) == (near[i].sum(), ids[label[i]])
+        assert (got[k].n_links, got[k].component_id, got[k].kept) == (near[i].sum(), ids[label[i]], ids[label[i]] == k)
     assert all(got[k].n_links == 0 and got[k].kept for k in range(1000, 1006))
     assert vectors.join(df.limit(0)).count() == 0
 
@@ -210,15 +210,25 @@ def test_quantisation_bound_holds():
 def oracle(name, folder=SMALL):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
-        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'/*.parquet' if folder != SMALL else ''}'")
     return con.execute(queries.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", ["op5_ngram_jaccard_join", "op6_suffix_array_dedup", "op10_mixing", "op3_quality_rules"])
-def test_against_sql(spark, name):
-    want = oracle(name)
+def repeated_ids(spark, tmp_path):
+    """The small tables, with rows of other texts and vectors under ids that are there already."""
+    docs, vecs = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "embeddings"))
+    docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    vecs.unionByName(vecs.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["op4_embedding_neardup", "op5_ngram_jaccard_join", "op6_suffix_array_dedup", "op10_mixing", "op3_quality_rules"])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_against_sql(spark, tmp_path, name, repeated):
+    folder = repeated_ids(spark, tmp_path) if repeated else SMALL
+    want = oracle(name, folder)
     cols = [c[0] for c in want.description]
-    got = queries.queries()[name](spark, SMALL).select(*cols)
+    got = queries.queries()[name](spark, folder).select(*cols)
     close = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
     assert Counter(close(r) for r in got.collect()) == Counter(close(r) for r in want.fetchall())
 
@@ -257,6 +267,90 @@ def test_large_group_in_many_blocks(spark):
 
 def test_depth_shortens_until_the_recall():
     assert neardup.depth_for(0.8, 40, 16, 0.9999) == 7 and neardup.depth_for(0.8, 1, 16, 0.99) == 1
+    assert neardup.least_similarity(3, 0.8) is None and neardup.least_similarity(4, 0.8) == 0.8 and neardup.least_similarity(7, 0.8) == 6 / 7
+    need = neardup.depths(0.8, 40, 16, 0.9999)
+    assert list(need[:4]) == [0] * 4 and need[4] == 7 and need[7] > 7 and need[-1] == 7
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_forest_finds_pairs_at_each_similarity(similarity):
+    rng = np.random.default_rng(int(100 * similarity))
+    n, pairs = 180, 1500
+    common = round(2 * n * similarity / (1 + similarity))
+    need = neardup.depths(0.8, 40, 16, 0.9999)
+    found = 0
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 48, 2 * n - common, dtype=np.uint64)
+        m = neardup.minima(np.concatenate([x[:n], x[n - common :]]), np.array([n, n]), 40 * int(need.max())).reshape(2, 40, -1)
+        found += bool((m[0, :, : need[-1]] == m[1, :, : need[-1]]).all(axis=1).any())
+    assert found >= 0.998 * pairs
+
+
+def test_final_nodes_against_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        n = 60
+        tree, label, need = rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 2, (n, 5)).astype(np.uint8), rng.integers(2, 6, n).astype(np.int32)
+        order = np.lexsort((*label.T[::-1], tree))
+        tree, label, need = tree[order], label[order], need[order]
+
+        def of(k):  # the node at which a member's prefix is short enough
+            for d in range(2, 6):
+                own = [j for j in range(n) if tree[j] == tree[k] and (label[j, :d] == label[k, :d]).all()]
+                if min(need[own]) <= d:
+                    return own
+            return [k]
+
+        node = neardup.final_nodes(tree, label, need, 2)
+        for k in range(n):
+            assert [j for j in range(n) if node[k] and node[j] == node[k]] == (of(k) if len(of(k)) > 1 else [])
+
+
+def test_long_nodes_stay_whole_and_equal(spark):
+    rows = [(t, bytes([t, 1, k % 3]), 2 if k else 3, k) for t in range(3) for k in range(40)] + [(0, bytes([9, 9, 9]), 2, 99)]
+    df = spark.createDataFrame(rows, "tree int, label binary, need int, rep long").repartition(1).sortWithinPartitions("tree", "label", "rep")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        one, other = ({(r.node, r.tree, r.rep) for r in neardup._nodes(df, 2, held).collect()} for held in (1000, 5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == other and len(one) == 120 and len({n for n, *_ in one}) == 3
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    a, b = "a b c d e f g h i j", "q w e r t y u i o p"
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, b + " y"), (None, "alone here")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_links, r.component_id) for r in neardup.join(df).collect())
+    assert got == Counter([(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (None, 2, 1), (None, 0, None)])
+    assert Counter((r.doc_id, r.text) for r in neardup.one_of_each(df).collect()) == Counter([(1, a), (1, b), (None, "alone here")])
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id long, embedding array<float>")
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in vectors.join(vec).collect()) == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)])
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    long, passage = " ".join(f"l{i}" for i in range(3000)), " ".join(f"p{i}" for i in range(60))
+    other, clean = " ".join(f"o{i}" for i in range(60)), " ".join(f"u{i}" for i in range(3500))
+    df = spark.createDataFrame([(6, f"{long} {passage}"), (6, other), (7, passage)], "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.n_words, r.duplicate) for r in passages.spans(df).collect()} == {(6, 3000, 60, False), (7, 0, 60, True)}
+    df = spark.createDataFrame([(5, passage), (6, f"{long} {passage}"), (6, clean), (6, clean), (8, passage), (8, passage)], "doc_id long, text string").withColumn("version", F.lit(3))
+    assert Counter((r.doc_id, r.text) for r in passages.without_repeats(df).collect()) == Counter([(5, passage), (6, long), (6, clean), (6, clean)])
+
+
+def test_word_keys_that_collide_cut_nothing_wrong(spark, monkeypatch):
+    """With few bits of the suffixes' keys and of the windows' hash, the proof still tells windows apart."""
+    rng = np.random.default_rng(4)
+    clean = [(k, " ".join(f"w{x}" for x in rng.integers(0, 400, 300))) for k in range(40)]
+    df = spark.createDataFrame(clean, "doc_id long, text string")
+    shared = " ".join(f"s{i}" for i in range(70))
+    both = spark.createDataFrame([*clean, (100, shared), (101, f"x {shared}")], "doc_id long, text string")
+    plain = passages._windows
+
+    def weak(*args):
+        return plain(*args).withColumn("hash", F.col("hash") % 8)
+
+    monkeypatch.setattr(passages, "_windows", weak)
+    assert passages.spans(df).count() == 0
+    assert {(r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in passages.spans(both).collect()} == {(100, 0, 70, 100), (101, 1, 70, 100)}
 
 
 def test_passages_are_cut_and_clean_text_stays(spark):
