@@ -3,10 +3,11 @@
 Pages of one host are compared in groups. Each page becomes a sequence of tokens: tags with their path, and
 text blocks with their path. Tokens that occur equally often on each page of the group share an occurrence
 vector and so form an equivalence class. Classes that occur on most pages, in one order and properly nested,
-are the host's template; what lies between neighbouring template tags are its slots. Text that is itself a
-template token (a notice on every page) belongs to the template, and of the slots those inside the host's
-content element are extracted. Copies of one content count as one page, and template text never fills a whole slot. A host
-with too few contents has no template: there the structure alone decides.
+are the host's template; what lies between neighbouring template tokens are a page's slots. Text that is itself a
+template token (a menu, a notice on every page) is in no slot, and of the slots those inside the host's
+content element are extracted, without blocks that their elements mark as something else: that is left to
+names where a template can't tell, as with comments. Copies of one content count as one page, and template text never
+fills a whole slot. A host with too few contents has no template: there the page is one slot, and names alone decide.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import html
 import pickle
 import re
 import tempfile
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Hashable, Iterator, Sequence
 
@@ -48,7 +50,8 @@ NOT_MAIN = {
     "complementary", "footer", "contentinfo", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments",
     "commentlist", "respond", "replies", "reply", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "widget", "widgets", "pagination", "pager", "search", "toolbar", "dialog", "tags",
 }
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_NAME, _STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[>\"']")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 #: Elements whose class and id may mark them, and names that inside an article are part of its text (callouts, kinds of section).
 CONTAINER = {"div", "section", "center", "header", "details", "fieldset", "hgroup", "ul", "ol", "dl", "dir", "table"}
 OF_ARTICLE = {"notice", "notices", "alert", "side", "discussion", "menu", "dialog", "search", "banner"}
@@ -57,12 +60,12 @@ _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Block:
-    """A text block: its words, its path, whether it lies in an element that is never main text, and whether in an article or main element."""
+    """A text block: its words, the place of its token on the page, whether it lies in an element that is never main text, and whether in an article or main element."""
 
-    __slots__ = ("text", "path", "off", "main")
+    __slots__ = ("text", "at", "off", "main")
 
-    def __init__(self, text: str, path: str, off: bool, main: bool):
-        self.text, self.path, self.off, self.main = text, path, off, main
+    def __init__(self, text: str, at: int, off: bool, main: bool):
+        self.text, self.at, self.off, self.main = text, at, off, main
 
 
 def _names(value: str, of_article: bool) -> bool:
@@ -98,94 +101,159 @@ def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     return off and name not in ("html", "body", "article", "main"), label
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
-    """Text blocks of a page in order, and its tokens (tags with their paths, and blocks)."""
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in order; no comments, and nothing of raw elements.
+
+    In time proportional to the page, whatever it holds: where a quote stays open, tags up to there end at their first ``>``.
+    """
+    at, plain, last = 0, 0, page.rfind(">")
+
+    def end(start: int) -> int:
+        nonlocal plain
+        p = start
+        while start >= plain:
+            m = _STOP.search(page, p)
+            if m and m[0] == ">":
+                return m.start()
+            q = page.find(m[0], m.end()) if m else -1
+            if q < 0:
+                plain = m.start() if m else len(page)
+                break
+            p = q + 1
+        return page.find(">", start)
+
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if page.startswith("<!--", lt):
+            yield "text", page[at:lt], ""
+            to = page.find("-->", lt + 4)
+            if to < 0:
+                return
+            at = to + 3
+            continue
+        if lt > last:  # no tag ends any more
+            yield "text", page[at:], ""
+            return
+        kind = page[lt + 1 : lt + 2]
+        m = _NAME.match(page, lt + 2 if kind == "/" else lt + 1)
+        if not m and kind not in "!?":
+            yield "text", page[at : lt + 1], ""
+            at = lt + 1
+            continue
+        yield "text", page[at:lt], ""
+        to = page.find(">", m.end() if m else lt) if kind in "/!?" else end(m.end())
+        if to < 0:
+            return
+        at = to + 1
+        if kind == "/":
+            yield "close", m[0].lower(), ""
+        elif m:
+            name = m[0].lower()
+            if name in RAW:
+                close = _END[name].search(page, at)
+                to = page.find(">", close.end()) if close else -1
+                if to < 0:
+                    return
+                at = to + 1
+            else:
+                yield "open", name, page[m.end() : to]
+
+
+class _Open:
+    """An open element: its name, whether it or one around it isn't main text, is main text, or is an article, and its path."""
+
+    __slots__ = ("name", "off", "main", "article", "path")
+
+    def __init__(self, name: str, off: bool, main: bool, article: bool, path: int):
+        self.name, self.off, self.main, self.article, self.path = name, off, main, article, path
+
+
+def parse(page: str) -> tuple[list[Block], list[int]]:
+    """Text blocks of a page in order, and its tokens: hashes of tags with their paths, and of blocks with theirs."""
     blocks: list[Block] = []
-    tokens: list[str] = []
-    stack: list[tuple[str, bool, str]] = []  # name, not main, label
+    tokens: list[int] = []
+    stack = [_Open("", False, False, False, 0)]
+    count: Counter = Counter()
     held: list[str] = []
-    raw = ""
     mains = 0
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            path = "/".join(x[2] for x in stack)
-            main = any(x[0] in ("article", "main") or x[2].startswith("main") for x in stack)
-            blocks.append(Block(text, path, any(x[1] for x in stack), main))
-            tokens.append(f"{path} {text}")
-
-    at = 0
-    while True:
-        if raw:
-            m = re.compile(rf"</{re.escape(raw)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = m.end() if m else len(page)
-            raw = ""
-            continue
-        m = _TAG.search(page, at)
-        if not m:
-            held.append(page[at:])
-            break
-        held.append(page[at : m.start()])
-        at = m.end()
-        close, name, attributes = m[1], m[2], m[3]
-        if name:
-            name = name.lower()
-            if name in RAW:
-                raw = name
-                continue
+            blocks.append(Block(text, len(tokens), stack[-1].off, stack[-1].main))
+            tokens.append(hash((stack[-1].path, text)))
+
+    def push(name: str, off: bool, label: str) -> None:
+        top = stack[-1]
+        main = name in ("article", "main") or label.startswith("main")
+        stack.append(_Open(name, top.off or off, top.main or main, top.article or name == "article", hash((top.path, label))))
+        count[name] += 1
+
+    def pop() -> _Open:
+        count[stack[-1].name] -= 1
+        return stack.pop()
+
+    for kind, name, attributes in scan(page):
+        if kind == "text":
+            held.append(name)
+        elif name == "br":
+            held.append(" ")
+        elif kind == "open":
             if name in BLOCK or name in NEVER:
                 end_block()
-                if name in ENDS_P and any(x[0] == "p" for x in stack):
-                    k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                    if not any(x[0] in ("article", "section", "div", "td", "li", "aside", "button", "object") for x in stack[k:]):
-                        del stack[k:]
-                if name == "li" and stack and stack[-1][0] == "li" or name in ("dt", "dd") and stack and stack[-1][0] in ("dt", "dd"):
-                    stack.pop()
-                if name in ("td", "th") and stack and stack[-1][0] in ("td", "th"):
-                    stack.pop()
+                if name in ENDS_P and count["p"]:
+                    k = len(stack) - 1
+                    while stack[k].name not in ("p", "article", "section", "div", "td", "li", "aside", "button", "object"):
+                        k -= 1
+                    if stack[k].name == "p":
+                        while len(stack) > k:
+                            pop()
+                if name == "li" and stack[-1].name == "li" or name in ("dt", "dd") and stack[-1].name in ("dt", "dd") or name in ("td", "th") and stack[-1].name in ("td", "th"):
+                    pop()
                 if name == "tr":
-                    while stack and stack[-1][0] in ("td", "th", "tr"):
-                        stack.pop()
+                    while stack[-1].name in ("td", "th", "tr"):
+                        pop()
                 if name not in VOID and not attributes.endswith("/"):
-                    off, label = _marked(name, attributes, any(x[0] == "article" for x in stack))
-                    off |= name in NEVER or name == "header" and not any(x[0] in ("article", "main") for x in stack)
+                    off, label = _marked(name, attributes, stack[-1].article)
+                    off |= name in NEVER or name == "header" and not stack[-1].main
                     if name in ("article", "main"):
                         mains += 1
                         label = f"{label}#{mains}" if mains > 1 else label
-                    stack.append((name, off, label))
-                    tokens.append("/".join(x[2] for x in stack))
-            elif name == "br":
-                held.append(" ")
+                    push(name, off, label)
+                    tokens.append(stack[-1].path)
             elif name not in VOID and attributes and not attributes.endswith("/"):
                 off, label = _marked(name, attributes, False)  # no container: its class and id don't count
                 if off:
                     end_block()
-                    stack.append((name, True, label))
-        elif close:
-            close = close.lower()
-            if close == "br":
-                held.append(" ")
-            elif any(x[0] == close for x in stack):
-                end_block()
-                while stack:
-                    path = "/".join(x[2] for x in stack)
-                    name = stack.pop()[0]
-                    tokens.append(f"/{path}")
-                    if name == close:
-                        break
-            elif close in BLOCK:
-                end_block()
+                    push(name, True, label)
+        elif count[name] > 0:
+            end_block()
+            while True:
+                top = pop()
+                tokens.append(~top.path)
+                if top.name == name:
+                    break
+        elif name in BLOCK:
+            end_block()
     end_block()
     return blocks, tokens
 
 
+def nested(a: Sequence[int], b: Sequence[int]) -> bool:
+    """Whether one of two classes lies in a single gap of the other on a page: in, around or beside it, never across; places ascend."""
+    return bisect(a, b[0]) == bisect(a, b[-1]) or bisect(b, a[0]) == bisect(b, a[-1])
+
+
 def template(pages: Sequence[Sequence[Hashable]]) -> set:
     """Tokens of the template of these pages' token sequences: the valid, nested equivalence classes.
 
     A token's occurrence vector is its count on each page. A class is valid if its tokens stand in the same order on
-    each page; of two classes the one with fewer pages must lie within one gap of the other, or it is left out.
+    each page. Of two classes one must lie within a single gap of the other on every page that has both, or the one on fewer
+    pages is left out.
     """
     n = len(pages)
     if n < SUPPORT:
@@ -199,7 +267,7 @@ def template(pages: Sequence[Sequence[Hashable]]) -> set:
         if len(vector) >= max(SUPPORT, SHARE * n):
             classes[tuple(sorted(vector.items()))].append(token)
     out: set = set()
-    frame: list[tuple[int, ...]] = []
+    frame: list[dict[int, list[int]]] = []  # the places of each class, by page
     for vector, members in sorted(classes.items(), key=lambda x: (-len(x[0]), -len(x[1]))):
         if any(count != vector[0][1] for _, count in vector):
             continue  # a list item or paragraph: repeated, but not of fixed number
@@ -214,10 +282,9 @@ def template(pages: Sequence[Sequence[Hashable]]) -> set:
                 valid = False
                 break
         if valid:
-            k = vector[0][0]
-            spots = [i for i, t in enumerate(pages[k]) if t in belongs]
-            if all(not (a[0] < spots[0] < a[-1] < spots[-1]) for a in frame):  # nested in, around or beside, never across
-                frame.append(tuple(spots))
+            places = {k: [i for i, t in enumerate(pages[k]) if t in belongs] for k, _ in vector}
+            if all(nested(other[k], spots) for other in frame for k, spots in places.items() if k in other):
+                frame.append(places)
                 out |= belongs
     return out
 
@@ -250,14 +317,20 @@ def distinct(keys: list[np.ndarray], sizes: list[np.ndarray]) -> list[int]:
     return out
 
 
-def main_text(blocks: list[tuple[str, int, bool]], fixed: set[int]) -> str:
+def slots(tokens: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """The slot of each token of a page: what lies between two tokens of the template, numbered in order; -1 for the template's own."""
+    own = np.isin(tokens, fixed)
+    return np.where(own, -1, np.cumsum(own))
+
+
+def main_text(blocks: list[tuple[str, int, bool]], slot: np.ndarray) -> str:
     """The main text of one page: all unmarked blocks of its content slots, without the template's own text, which never is all of them.
 
-    blocks: text, token and whether in a main or article element. The slots are what lies in such elements; of a page
-    without unmarked text in them, all of it.
+    blocks: text, place of its token, and whether in a main or article element. Content slots are those that lie in such
+    elements; of a page without unmarked text in them, all.
     """
-    free = [b for b in blocks if b[2]] or blocks
-    return "\n\n".join(b[0] for b in [b for b in free if b[1] not in fixed] or free)
+    content = [b for b in blocks if b[2]] or blocks
+    return "\n\n".join(b[0] for b in [b for b in content if slot[b[1]] >= 0] or content)
 
 
 class Group:
@@ -271,27 +344,27 @@ class Group:
 
     def add(self, page: str) -> None:
         blocks, tokens = parse(page)
-        free = [(b.text, hash(f"{b.path} {b.text}"), b.main) for b in blocks if not b.off]
+        free = [(b.text, b.at, b.main) for b in blocks if not b.off]
         own: Counter = Counter()
-        for text, key, _ in free:
-            own[key] += len(text)
-        self.tokens.append(np.array([hash(t) for t in tokens], dtype=np.int64))
+        for text, at, _ in free:
+            own[tokens[at]] += len(text)
+        self.tokens.append(np.array(tokens, dtype=np.int64))
         self.keys.append(np.array(list(own.keys()), dtype=np.int64))
         self.sizes.append(np.array(list(own.values()), dtype=np.int64))
         pickle.dump(free, self.blocks, pickle.HIGHEST_PROTOCOL)
 
     def texts(self) -> Iterator[str]:
         """Main texts of the pages in turn; closes the group."""
-        fixed: set[int] = set()
+        fixed = np.zeros(0, dtype=np.int64)
         some = [self.tokens[k] for k in distinct(self.keys, self.sizes)] if len(self.tokens) >= SUPPORT else []
         if len(some) >= SUPPORT:  # tokens on too few pages form no class
             values, n = np.unique(np.concatenate([np.unique(t) for t in some]), return_counts=True)
             often = values[n >= max(SUPPORT, SHARE * len(some))]
-            fixed = template([t[np.isin(t, often)].tolist() for t in some])
+            fixed = np.array(sorted(template([t[np.isin(t, often)].tolist() for t in some])), dtype=np.int64)
         with self.blocks:
             self.blocks.seek(0)
-            for _ in self.tokens:
-                yield main_text(pickle.load(self.blocks), fixed)
+            for tokens in self.tokens:
+                yield main_text(pickle.load(self.blocks), slots(tokens, fixed))
 
 
 def extract_group(pages: list[str | None]) -> list[str]:

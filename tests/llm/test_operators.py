@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,72 @@ def test_template_classes_are_ordered_and_nested():
     assert not {"b", "c"} <= html.template([["a", "b", "c"], ["a", "c", "b"]] * 3)
 
 
+def brute_template(pages):
+    """Classes of equal occurrence vectors, those in one order on each page, without those that cross one that counts before."""
+    least, n = max(html.SUPPORT, html.SHARE * len(pages)), len(pages)
+    vectors = {t: tuple(p.count(t) for p in pages) for p in pages for t in p}
+    classes = defaultdict(set)
+    for t, v in vectors.items():
+        if sum(c > 0 for c in v) >= least and len(set(v) - {0}) == 1:
+            classes[v].add(t)
+    kept = []
+    for v, own in sorted(classes.items(), key=lambda x: (-sum(c > 0 for c in x[0]), -len(x[1]))):
+        seen = [[t for t in p if t in own] for p in pages]
+        unit = next(s for s in seen if s)[: len(own)]
+        if any(s and s != unit * max(v) for s in seen):
+            continue
+        crossing = False
+        for other in kept:
+            for p in pages:
+                a, b = ([i for i, t in enumerate(p) if t in c] for c in (own, other))
+                gaps = lambda x, y: len({sum(j < i for j in y) for i in x})
+                crossing |= bool(a and b and gaps(a, b) > 1 and gaps(b, a) > 1)
+        if not crossing:
+            kept.append(own)
+    return set().union(*kept)
+
+
+def test_template_and_slots_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        base = [str(x) for x in rng.integers(0, 9, 8)]
+        pages = []
+        for k in range(int(rng.integers(4, 9))):
+            page = [t for t in base if rng.random() > 0.1]
+            for at in sorted(rng.integers(0, len(page) + 1, 3), reverse=True):
+                page.insert(at, f"own {k} {at}")
+            pages.append(page)
+        # classes of as many pages and tokens have no order among them, so such pages are left out
+        sizes = Counter((sum(t in p for p in pages), 0) for t in {t for p in pages for t in p})
+        found = html.template(pages)
+        assert found <= {t for t in base}
+        if len(sizes) == len({tuple(p.count(t) for p in pages) for p in pages for t in p}):
+            assert found == brute_template(pages)
+        for p in pages:
+            code = {t: i for i, t in enumerate(sorted(set(p)))}
+            slot = html.slots(np.array([code[t] for t in p]), np.array(sorted(code[t] for t in found if t in code), dtype=np.int64))
+            for i, t in enumerate(p):
+                assert slot[i] == (-1 if t in found else sum(x in found for x in p[:i]))
+
+
+def test_classes_that_cross_are_left_out():
+    assert html.template([["a", "x", "b", f"{k}"] for k in range(5)] + [["a", "b"], ["a", "b"]]) == {"a", "x", "b"}
+    assert html.template([["a", "x", "b", "y"]] * 5 + [["a", "b"]] * 2) == {"a", "b"}  # x and y cross a and b
+    assert html.nested([1, 5], [2, 3]) and html.nested([2, 3], [1, 5]) and html.nested([1, 2], [3, 4]) and not html.nested([1, 3], [2, 4])
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a " * 350_000 + ">", '<a "' * 250_000 + ">", "<a '>\" " * 150_000, "<div>" * 100_000, "<p><ul>" * 70_000, "<script>" + "</script " * 100_000, "<!--" * 200_000, "</div>" * 150_000, "<" * 1_000_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html.extract_group([page])
+    assert time.perf_counter() - began < 4
+
+
+def test_scanner():
+    got = [x for x in html.scan("a<b c='>'>d<!-- <p> -->e</B >f<script>x<p></script>g<h 1 < 2") if x != ("text", "", "")]
+    assert got == [("text", "a", ""), ("open", "b", " c='>'"), ("text", "d", ""), ("text", "e", ""), ("close", "b", ""), ("text", "f", ""), ("text", "g<h 1 < 2", "")]
+
+
 def test_quality_features_and_cascade(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for k, r in rows.items():
