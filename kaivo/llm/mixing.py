@@ -2,9 +2,10 @@
 
 Every document gets the exponential key -ln(u) / w: u is uniform, from a hash of the document, and w is its quality weight. In
 each source documents count in ascending key. A source whose target is above its size gives complete epochs first; the rest of
-its target is a prefix of that order, cut inside the document where the budget ends. The prefix sums are taken in two steps, over
-buckets of keys and then inside the one bucket per source where the budget ends, so that no task orders a whole source; a
-document's share then follows from its own key and its source's cut, without moving text.
+its target is a prefix of that order, cut inside the document where the budget ends. The prefix sums are taken in steps: over
+BUCKETS ranges of keys, then over as many of the one range per source where the budget ends, then over the documents of the one
+range of that, so that no task orders a whole source, whatever its keys; a document's share then follows from its own key and
+its source's cut, without moving text.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from kaivo.llm.scratch import written
 #: Weights of the sources in order of their names, repeating; a target is at most LIMIT times its source's size.
 WEIGHTS, LIMIT = (5, 2, 1), 3
 SEED = "mix-1"
-#: Documents of a bucket of keys.
-BUCKET = 4_000
+#: Ranges of a source's keys in each of two steps.
+BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,6 +66,18 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float =
     return sums.select("source", "n", "mean_w", "source_size", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")).alias("target"))
 
 
+def _ending(placed: DataFrame) -> DataFrame:
+    """s, b, before, low, high: the bucket of each source in which its budget ends, what lies before it, and its smallest and largest key."""
+    sums = placed.groupBy("source", "bucket", "budget", "before").agg(F.sum("size").alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("sum").over(upto), F.lit(0))).where("before <= budget and budget < before + sum")
+    return ends.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "low", "high")
+
+
+def _inside(placed: DataFrame, ends: DataFrame) -> DataFrame:
+    return placed.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+
+
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """One row for each source: source, source_size, target, epochs, cut (key where the budget ends) and cut_share (of the documents there).
 
@@ -73,15 +86,14 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIM
     goals = written(targets(rows, weights, limit), "targets")
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goals = goals.withColumn("budget", F.greatest(F.lit(0).cast("long"), F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
-    goals = goals.withColumn("buckets", F.ceil(F.col("n") / BUCKET))
-    by = goals.select(F.col("source").alias("s"), "buckets", "mean_w", "budget")
-    placed = rows.join(F.broadcast(by) if goals.count() < 100_000 else by, F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.withColumn("bucket", F.least(F.floor(F.col("buckets") * (1 - F.exp(-F.col("key") * F.col("mean_w")))), F.col("buckets") - 1).cast("long")).select("source", "bucket", "key", "size", "budget")
-    sums = placed.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("sum"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0))).where("before <= budget and budget < before + sum")
-    ends = ends.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
-    last = placed.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    by = goals.select(F.col("source").alias("s"), "mean_w", "budget")
+    at = F.least(F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key") * F.col("mean_w")))), F.lit(BUCKETS - 1)).cast("long")
+    placed = rows.join(F.broadcast(by) if goals.count() < 100_000 else by, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", at).select("source", "bucket", "key", "size", "budget")
+    first = _ending(placed.withColumn("before", F.lit(0).cast("long")))
+    near = _inside(placed, first)
+    fine = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("long")
+    near = near.withColumn("bucket", fine)
+    last = _inside(near.drop("before", "low", "high"), _ending(near))
     last = last.groupBy("source", "budget", "before", "key").agg(F.sum("size").alias("at_key"))
     inside = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     cut = last.withColumn("sum", F.col("before") + F.coalesce(F.sum("at_key").over(inside), F.lit(0))).where("sum <= budget and budget < sum + at_key")
