@@ -6,7 +6,8 @@ token capacity left; where it doesn't fit it is cut and goes on in the next chea
 are opened as the tokens need, so only the last sequence of a buffer can have padding.
 
 Each task packs the documents of its own partition, a buffer of bounded size at a time: no shuffle, and a
-lost task is repeated alone. Text never leaves the task; rows out are pieces.
+lost task is repeated alone. Small partitions are read together, so that padding doesn't grow with their number. Text never leaves
+the task; rows out are pieces. Whole sequences cut off a long document cost what they cost anywhere; the balance is of the rest.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SEQUENCE = 1024
 #: Tokens held by a task at once; a single document may exceed it.
 BUFFER = 1 << 21
 LINEAR, SCALE = 1.0, 1024.0
+#: Bytes of the plan's own estimate that a partition should hold at least; smaller ones are read together.
+PARTITION = 2 << 20
 #: Texts longer than this many characters are tokenised in parts, cut where no token can cross.
 PART = 1 << 16
 VOCABULARY = "byte_bpe_50k"
@@ -159,4 +162,7 @@ def pack(docs: DataFrame, capacity: int = SEQUENCE, end_id: int = 0, folder: str
                     held = 0
         yield from flush()
 
-    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
+    rows = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = docs.rdd.getNumPartitions()
+    return rows.coalesce(max(1, min(parts, size // PARTITION))).mapInArrow(run, PIECES)
