@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.scratch import bounded
-from kaivo.llm.texts import Texts, slices, sums_by
+from kaivo.llm.texts import Texts, mixed, slices, sums_by
 
-#: Bound of the sample that orders the rules: so many rows.
-SAMPLE = 400
+#: Bound of the sample that orders the rules: so many rows of at most so many bytes. Longer texts don't help to order them.
+SAMPLE, SAMPLE_BYTES = 400, 1 << 16
 MIN_WORDS, MAX_REPEATED = 50, 50
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -51,9 +51,14 @@ def lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[full], start[full], end[full]
 
 
+def _keys(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64 bits of (row, hash)."""
+    return mixed(h + mixed(row.astype(np.uint64)))
+
+
 def _later(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of items with equal row and hash: which are not the first, and which aren't alone."""
-    key = (row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    key = _keys(row, h)
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     later, many = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
@@ -110,10 +115,12 @@ def _letters(t: Texts, f: dict[str, np.ndarray]) -> np.ndarray:
 def _one_word(t: Texts, f: dict[str, np.ndarray]) -> np.ndarray:
     """One word makes more than 30 percent of the text."""
     t.hashed_words()
-    key = np.sort((t.wd.astype(np.uint64) << np.uint64(48)) | (t.h >> np.uint64(16)))
+    key = _keys(t.wd, t.h)
+    order = np.argsort(key)
+    key = key[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     most = np.zeros(t.n, dtype=np.int64)
-    np.maximum.at(most, (key[edge] >> np.uint64(48)).astype(np.int64), np.diff(np.append(edge, len(key))))
+    np.maximum.at(most, t.wd[order[edge]], np.diff(np.append(edge, len(key))))
     return _share(most, f["n_words"], 0.3)
 
 
@@ -191,7 +198,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE
     order of the cascade), or null. Repeated rows give repeated rows; an empty table none; other columns are ignored.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rules = ordered([r["text"] for r in docs.where("text is not null").sample(0.2, seed=11).limit(sample).collect()], rules)
+    rules = ordered([r["text"] for r in docs.where(f"octet_length(text) <= {SAMPLE_BYTES}").sample(0.2, seed=11).limit(sample).collect()], rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([r.name for r in rules] + ["base"])
