@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode (tests), else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kaivo-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: The tables of one driver process lie in one folder.
+RUN = f"kaivo-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written. Results are lazy and read them, so call it when they have been stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: survives lost executors, is computed once."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/kaivo/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
