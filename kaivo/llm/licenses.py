@@ -17,6 +17,11 @@ RARE, MATCH = 8, 0.7
 
 # Phrases that give a label by themselves.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
+# Label, what a tag names.
+SPDX = (
+    ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl", "mpl"), ("epl", "epl"), ("cc-by-nc", "cc by nc"), ("cc-by-sa", "cc by sa"),
+    ("cc-by-nd", "cc by nd"), ("cc0", "cc0"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("bsl", "bsl"), ("artistic", "artistic"), ("wtfpl", "wtfpl"), ("ofl", "ofl"),
+)
 # Label, notice, key phrases.
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
@@ -39,11 +44,23 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("this permission notice shall be included in all copies or substantial portions of the software",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice",)),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software", ("this permission notice appear in all copies",)),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software altered source versions must be plainly marked as such", ("the origin of this software must not be misrepresented",)),
+    ("bsl", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("distributed under the license is distributed on an as is basis",)),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl was not distributed with this file",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("distributed in the hope that it will be useful", "gnu general public license")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("artistic", "this program is free software you can redistribute it and or modify it under the terms of the artistic license", ("artistic license",)),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    *((label, f"spdx license identifier {tag}", (f"spdx license identifier {tag}",)) for label, tag in SPDX),
 )
 PHRASES = tuple(dict.fromkeys([p for _, p in BASE] + [p for *_, ps in TEMPLATES for p in ps]))
 VOCABULARY = tuple(dict.fromkeys(w for x in [*(t for _, t, _ in TEMPLATES), *PHRASES] for w in x.split()))
 #: One of these words stands in every phrase, and so in every file that can get a label.
-ANCHORS = ("cc", "license", "reserved", "granted", "redistribution", "unencumbered", "waived", "creative")
+ANCHORS = ("cc", "license", "reserved", "granted", "redistribution", "redistributions", "unencumbered", "waived", "creative", "permission", "misrepresented", "mpl", "hope")
 assert all(not set(p.split()).isdisjoint(ANCHORS) for p in PHRASES)
 
 

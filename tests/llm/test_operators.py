@@ -452,6 +452,68 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_equal_texts_stay_together_and_null_ids_are_dealt(spark, docs):
+    found = sharding.shard(docs).join(docs.select("doc_id", "text"), "doc_id")
+    assert found.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.col("id").alias("grp"), F.lit(1).alias("row"), F.lit(2).alias("part"))
+    counts = Counter(r.shard for r in sharding.shard(hot).collect())
+    assert len(counts) == 8 and max(counts.values()) < 1.3 * min(counts.values())
+
+
+def test_shard_law_against_brute_force(spark):
+    """Bytes are within the largest item of each other, as greedy placement in descending size gives at worst."""
+    rng = np.random.default_rng(2)
+    made = [(k, "w " * int(rng.pareto(1.2) * 20 + 1)) for k in range(1500)]
+    made += [(2000 + k, "copied text of a group " * 30) for k in range(40)]
+    got = sharding.shard(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    groups = Counter()
+    for k, t in made:
+        groups[t] += len(t) + 1
+    assert max(sums.values()) - min(sums.values()) <= max(max(len(t) for _, t in made) + 1, max(v for v in groups.values() if v <= sum(groups.values()) / 16))
+    assert Counter((r.doc_id, r["size"], r.tokens) for r in got) == Counter((k, len(t) + 1, len(t.split())) for k, t in made)
+
+
+def test_mixing_with_very_uneven_weights(spark):
+    """Many documents of low weight: sums and cut against a plain sort of the keys."""
+    rng = np.random.default_rng(6)
+    made = [(k, ("# " * 9 if k % 3 else "word ") * int(rng.integers(1, 20)), "ab"[k % 7 == 0]) for k in range(4000)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    keys = {r.doc_id: r for r in mixing.keyed(df).collect()}
+    goals = {r.source: r for r in mixing.targets(mixing.keyed(df)).collect()}
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    for source, goal in goals.items():
+        own = sorted((r for r in keys.values() if r.source == source), key=lambda r: r.key)
+        epochs = int(goal.target / goal.source_size + 1e-12)
+        left = round(goal.target - epochs * goal.source_size)
+        for r in own:
+            some = min(r["size"], max(0, left))
+            assert got[r.doc_id].taken == epochs * r["size"] + some
+            left -= some
+
+
+def test_padding_does_not_grow_with_partitions(spark, docs):
+    found = packing.pack(docs.repartition(150)).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
+    assert found.n / 1024 / found.s > 0.99
+
+
+def test_written_tables_are_deleted(spark):
+    from kaivo.llm import scratch
+
+    before = scratch.RUN
+    scratch.RUN = "kaivo-test"
+    try:
+        table = scratch.written(spark.range(5), "x")
+        assert table.count() == 5
+        scratch.clean_up(spark)
+        with pytest.raises(Exception):  # noqa: B017
+            spark.read.parquet(table.inputFiles()[0])
+    finally:
+        scratch.RUN = before
+
+
 def test_licenses_against_brute_force(spark, docs):
     made = [(1, "Licensed under CC BY-NC 4.0."), (2, "cc by cc-by CC/BY"), (3, "All rights, reserved. all rights  RESERVED"), (4, "Released under the MIT License."), (5, "general public licenses"), (6, None), (7, ""), (7, ""), (None, "cc by"), (8, "Éacc by"), (9, "the apache tribe; a license")]
     df = spark.createDataFrame(made, "doc_id long, text string").withColumn("w", F.lit("clash"))
@@ -472,6 +534,39 @@ def test_licenses_against_brute_force(spark, docs):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def brute_labels(texts):
+    """Labels and scores by trying every template at every place of every text."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for t in texts]
+    idf = {w: np.log((len(files) + 1) / (sum(w in f for f in files) + 0.5)) for _, t, ps in licenses.TEMPLATES for x in (t, *ps) for w in x.split()}
+    has = lambda f, p: any(f[i : i + len(p)] == p for i in range(len(f)))
+    out = []
+    for f in files:
+        base = {label for label, p in licenses.BASE if has(f, p.split())}
+        found = {}
+        for label, t, ps in licenses.TEMPLATES:
+            t = t.split()
+            rare = sorted(set(t), key=lambda w: (-idf[w], w))[: licenses.RARE]
+            spots = [(i, w) for i, w in enumerate(t) if w in rare]
+            best = max((sum(idf[w] for i, w in spots if 0 <= at + i < len(f) and f[at + i] == w) for at in range(-len(t), len(f))), default=0) / sum(idf[w] for _, w in spots)
+            if best >= licenses.MATCH - 1e-9 and all(has(f, p.split()) for p in ps):
+                found[label] = max(found.get(label, 0), best)
+        out.append((",".join(sorted(base | set(found))), round(1.0 if base else min(1.0, max(found.values(), default=0)), 9)))
+    return out
+
+
+def test_license_labels_against_brute_force(spark, rows):
+    made = [f"{'x ' * (k % 7)}{t}{' y' * (k % 3)}" for k, (_, t, _) in enumerate(licenses.TEMPLATES)]
+    made += [" ".join(w for i, w in enumerate(t.split()) if i % 9 != k % 9) for k, (_, t, _) in enumerate(licenses.TEMPLATES)]
+    made += ["Apache-2.0 SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-3.0-or-later", None, "", "license " * 50, "the MIT license is one; permission is asked"]
+    made += [r.text for r in rows.values() if r.text and len(r.text) < 3000 and re.search("licen|reserved|CC", r.text)][:60]
+    want = brute_labels(made)
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(made))] == want
+    at = 2 * len(licenses.TEMPLATES)
+    assert got[at][0] == "mit" and got[at + 1][0] == "gpl" and all(got[k][0] for k in range(len(licenses.TEMPLATES)))
+
+
 def test_language_id_on_held_out_documents(spark):
     found = queries.op9_language_id(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
