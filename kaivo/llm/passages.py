@@ -2,8 +2,9 @@
 
 Of each text the suffixes are kept that start at a minimiser: in every run of WORDS words at least one 16-word gram
 is the least of its neighbours, and equal runs choose the same one. The kept suffixes are sorted by their words (each word a
-16-bit key, so that the order is one of word sequences), dealt out by range, and each is compared with its neighbours: those
-with GRAM words in common are anchors of possible matches (so are those at the ends of a range, whose neighbours are elsewhere).
+8-bit key, so that the order is one of word sequences), dealt out by range, and each is compared with its neighbours: those
+with GRAM words in common with another document's are anchors of possible matches (so are those at the ends of a range, whose
+neighbours are elsewhere).
 Then anchors are extended left and right, to the WORDS-word windows that chose them. Extending neighbours alone would miss
 matches whose best partner on the left isn't a neighbour on the right, so a window looks for its equal among all: windows are
 sorted by 96 bits of hash and compared with their neighbours in turn. Equal windows of two documents are repeated; at 1e13 windows
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kaivo.llm.scratch import bounded, held, small, written
+from kaivo.llm.scratch import bounded, small, written
 from kaivo.llm.texts import Texts, mixed, slices, sliding_min
 
 #: A passage counts from so many words on; a kept suffix is recognised by its first GRAM words.
@@ -62,8 +63,8 @@ def _suffixes(docs: DataFrame, words: int, gram: int) -> DataFrame:
             t.hashed_words()
             at = np.unique(_least(t, words, gram)[1])
             rows = t.wd[at]
-            keys = (t.h >> np.uint64(48)).astype(">u2")[at[:, None] + np.arange(gram)]
-            ends = np.arange(len(at) + 1, dtype=np.int32) * np.int32(2 * gram)
+            keys = (t.h >> np.uint64(56)).astype(np.uint8)[at[:, None] + np.arange(gram)]
+            ends = np.arange(len(at) + 1, dtype=np.int32) * np.int32(gram)
             suffix = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(keys.tobytes())])
             yield pa.RecordBatch.from_arrays([suffix, *(batch.column(k).take(pa.array(rows)) for k in (0, 1)), pa.array((at - t.first[rows]).astype(np.int32))], names=["suffix", "doc_id", "version", "at"])
 
@@ -78,24 +79,33 @@ def _keys(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _anchors(suffixes: DataFrame, gram: int) -> DataFrame:
-    """The suffixes that have ``gram`` words in common with a neighbour; suffixes: sorted within ranges."""
+    """The suffixes that have ``gram`` words in common with one of another document; suffixes: sorted by key and doc_id within ranges.
+
+    Of a run of equal keys no more is held than its first document's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the last row, until its right neighbour is seen
-        before = True  # whether that row is alike its left neighbour; true of the first, whose neighbour is elsewhere
+        carry: pa.RecordBatch | None = None  # a run of one document, which may go on
+        met: np.ndarray | None = None  # the key of a run of two or more, which may go on
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            s = _keys(batch.column(0), 2 * gram)
-            alike = (s[1:] == s[:-1]).all(axis=1)
-            hit = np.concatenate([[before], alike])[:-1] | alike
-            yield batch.slice(0, len(s) - 1).filter(pa.array(hit, pa.bool_())).select(["doc_id", "version", "at"])
-            before = bool(alike[-1]) if len(alike) else before
-            last = batch.slice(len(s) - 1)
-        if last is not None:
-            yield last.select(["doc_id", "version", "at"])
+            if carry is not None:
+                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            s, d = _keys(batch.column(0), gram), batch.column(1).to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)]))
+            n = np.diff(np.append(start, len(s)))
+            several = d[start] != d[start + n - 1]
+            if first or met is not None and (s[0] == met).all():
+                several[0] = True
+            first = False
+            last = int(start[-1])
+            met = s[-1].copy() if several[-1] else None
+            carry = None if several[-1] else batch.slice(last)
+            yield batch.filter(pa.array(np.repeat(several, n), pa.bool_())).select(["doc_id", "version", "at"])
+        if carry is not None:
+            yield carry.select(["doc_id", "version", "at"])
 
     return suffixes.mapInArrow(run, "doc_id long, version long, at int")
 
@@ -136,12 +146,10 @@ def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     ordered = _suffixes(docs, words, gram).repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
     anchors = _anchors(ordered, gram).groupBy("doc_id", "version").agg(F.collect_list("at").alias("at"))
     # always a shuffle join: a third of a corpus can hold anchors, so neither side is small at any size
-    windows = held(_windows(docs.hint("merge").join(anchors, ["doc_id", "version"]).select("doc_id", "version", "at", "text"), words, gram))
+    windows = _windows(docs.hint("merge").join(anchors, ["doc_id", "version"]).select("doc_id", "version", "at", "text"), words, gram)
     order = ["hash", "proof", "doc_id", "version", "start"]
-    try:
-        met = written(_met(windows.repartitionByRange("hash", "proof", "doc_id", "start").sortWithinPartitions(*order)), "met")
-    finally:
-        windows.unpersist()
+    # a range partitioning reads its input twice: windows are made again from the joined texts, which costs less than to keep them
+    met = written(_met(windows.repartitionByRange("hash", "proof", "doc_id", "start").sortWithinPartitions(*order)), "met")
     # two runs a range at most: what the ends of the ranges hold together
     ends = met.where("run > 0").groupBy("run", "hash", "proof").agg(F.min("first_doc_id").alias("least"), F.max("doc_id").alias("most")).collect()
     whole: dict[tuple[int, int], tuple[int, int]] = {}

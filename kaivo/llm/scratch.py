@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` on its executors' disks, computed once, until the caller releases it with unpersist(); what a lost executor held is computed again.
-
-    For steps that are read twice at once, as a range partitioning reads its input to find its bounds: no files in the shared folder.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 #: A table is broadcast up to so many rows times its widest row's values; beyond that Spark chooses.
 BROADCAST_VALUES = 2_000_000
 
