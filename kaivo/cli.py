@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from kaivo.functions import text as T
-from kaivo.operators import evaluate, rank
-from kaivo.session import local
+from kaivo.operators import evaluate, index, rank
+from kaivo.session import local, shared_dir
 from kaivo.sources import records
 
 
@@ -41,7 +42,9 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         return 0
     bench = spark.read.parquet(f"{args.data}/benchmark.parquet")
-    found = evaluate.metrics(evaluate.outcomes(docs, bench, evaluate.hits(docs, bench, T.ANALYSERS, k=args.k), T.ANALYSERS), *evaluate.CELL).cache()
+    ix = index.store(docs, f"{shared_dir(spark)}/kaivo-index/{uuid.uuid4().hex}")
+    need = evaluate.population(ix, bench)
+    found = evaluate.metrics(evaluate.outcomes(ix, bench, need, evaluate.hits(ix, bench, T.ANALYSERS, k=args.k), T.ANALYSERS), *evaluate.CELL).cache()
     found.orderBy(*evaluate.CELL).show(100, truncate=False)
     if args.write_baseline:
         found.select(*(c.split()[0] for c in records.BASELINE.split(", "))).coalesce(1).write.mode("overwrite").json(args.write_baseline)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +24,20 @@ def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
 
 
 def mcnemar(a: Column, b: Column) -> Column:
-    """Exact two-sided p of a : b discordant pairs: binomial terms by recurrence, so that no factorial overflows."""
+    """Exact two-sided p of a : b discordant pairs: binomial terms by recurrence, of their logarithms where 0.5^n would underflow."""
     n, k = (a + b).cast("int"), F.least(a, b).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.pow(F.lit(0.5), n.cast("double")).alias("sum"))
+    steps = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+
+    def tail(first: Column, term: Callable[[Column, Column], Column], value: Callable[[Column], Column]) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            now = term(acc["term"], (n - i + 1) / i)
+            return F.struct(now.alias("term"), (acc["sum"] + value(now)).alias("sum"))
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+        return F.aggregate(steps, F.struct(first.alias("term"), value(first).alias("sum")), step, lambda acc: acc["sum"])
 
-    tail = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["sum"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    plain = tail(F.pow(F.lit(0.5), n.cast("double")), lambda x, ratio: x * ratio, lambda x: x)
+    logs = tail(n.cast("double") * math.log(0.5), lambda x, ratio: x + F.log(ratio), F.exp)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, plain).otherwise(logs)))
 
 
 def h2(tf: Column) -> Column:

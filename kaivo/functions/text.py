@@ -82,16 +82,36 @@ def parsed_address(raw: Column) -> Column:
     return F.when(clean.rlike(ADDRESS) & day.isNotNull(), F.struct(part[0].alias("authority"), day.alias("date"), part[2].cast("int").alias("clause"), F.nullif(part[3], F.lit("")).alias("sub")))
 
 
+PAGE_BREAK = r"(?m)^\f+([ \t]*[\p{Lu}•*])"
+
+
 def page_breaks(text: Column) -> Column:
-    """A form feed becomes a blank line where a new paragraph begins (upper case or a bullet), else nothing."""
-    kept_ = F.regexp_replace(text, r"(?m)^\f+([ \t]*[\p{Lu}•*])", "\n$1")
-    return F.replace(kept_, F.lit("\f"), F.lit(""))
+    """Form feeds at a line's beginning become a blank line where a new paragraph begins (upper case or a bullet), else nothing; others stay."""
+    return F.regexp_replace(F.regexp_replace(text, PAGE_BREAK, "\n$1"), r"(?m)^\f+", "")
+
+
+def n_page_breaks(text: Column) -> Column:
+    """How many blank lines ``page_breaks`` puts in."""
+    return F.regexp_count(text, F.lit(PAGE_BREAK)).cast("long")
 
 
 def dehyphenated(text: Column) -> Column:
     """Joins words cut at a line's end, unless the next line begins with a conjunction (then the hyphen is real) or isn't lower case."""
-    guard = "|".join(CONJUNCTIONS)
-    return F.regexp_replace(text, rf"-\n[ \t]*(?!(?:{guard})(?=[\s,.;:]|$))(?=\p{{Ll}})", "")
+    return F.regexp_replace(text, _JOIN, "")
+
+
+_GUARD = f"(?:{'|'.join(CONJUNCTIONS)})(?=[\\s,.;:]|$)"
+_JOIN = rf"-\n[ \t]*(?!{_GUARD})(?=\p{{Ll}})"
+
+
+def n_joins(text: Column) -> Column:
+    """How many words ``dehyphenated`` joins."""
+    return F.regexp_count(text, F.lit(_JOIN)).cast("long")
+
+
+def n_guards(text: Column) -> Column:
+    """How many hyphens a conjunction keeps."""
+    return F.regexp_count(text, F.lit(rf"-\n[ \t]*{_GUARD}")).cast("long")
 
 
 def squeezed(text: Column) -> Column:

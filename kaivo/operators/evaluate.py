@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kaivo.functions import text as T
 from kaivo.functions.stats import mcnemar
 from kaivo.operators import index, rank
 
@@ -21,30 +22,66 @@ def require_empty(df: DataFrame, message: str) -> None:
         raise Violation(f"{message}: {[tuple(r) for r in some]}")
 
 
-def population(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def population(ix: index.Index, benchmark: DataFrame) -> DataFrame:
     """item_id, asked_in, doc_id: the passages each question needs in each jurisdiction that has any."""
-    found = index.required(index.passages(documents), index.questions(benchmark))
+    found = index.required(ix, index.questions(benchmark))
     return found.where("authority is not null").select("item_id", F.col("authority").alias("asked_in"), "doc_id")
 
 
-def matching(documents: DataFrame, benchmark: DataFrame, need: DataFrame) -> DataFrame:
-    """item_id, analyser, doc_id, n_shared: needed passages that share a lexeme with their question, whatever their rank."""
-    chunk = index.passages(documents).join(need.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = index.occurrences(chunk, F.col("body"), "doc_id").select("doc_id", "analyser", "lexeme").distinct()
-    return own.join(need, "doc_id").join(index.query_lexemes(index.questions(benchmark)), ["item_id", "analyser", "lexeme"]).groupBy("item_id", "asked_in", "analyser", "doc_id").agg(F.count("*").alias("n_shared"))
+def present(ix: index.Index, benchmark: DataFrame, need: DataFrame) -> DataFrame:
+    """item_id, asked_in: jurisdictions with a question's text, by either detector: as it stands in any case, or its kept words in order."""
+    p = benchmark.select(F.col("item_id").alias("phrase_id"), F.posexplode(T.kept(F.col("text"))).alias("ord", "lexeme"))
+    by_words = index.phrase_hits(ix, p).where("authority is not null").select(F.col("phrase_id").alias("item_id"), F.col("authority").alias("asked_in"))
+    return need.select("item_id", "asked_in").unionByName(by_words).distinct()
+
+
+def kinds(ix: index.Index, benchmark: DataFrame, need: DataFrame) -> DataFrame:
+    """item_id, asked_in, kind: answerable there, out-of-jurisdiction (elsewhere only) or out-of-corpus."""
+    there = present(ix, benchmark, need).withColumn("there", F.lit(True))
+    anywhere = there.select("item_id").distinct().withColumn("anywhere", F.lit(True))
+    grid = benchmark.select("item_id").join(F.broadcast(rank.authorities(ix)))  # a question is asked in each jurisdiction
+    kind = F.when(F.col("there"), "answerable").when(F.col("anywhere"), "out-of-jurisdiction").otherwise("out-of-corpus")
+    return grid.join(there, ["item_id", "asked_in"], "left").join(anywhere, "item_id", "left").select("item_id", "asked_in", kind.alias("kind"))
+
+
+def absence_violations(found: DataFrame, claimed: DataFrame) -> DataFrame:
+    """item_id, asked_in, violation: refusal questions (item_id, asked_in, kind) whose kind the corpus contradicts; found: ``kinds``."""
+    at_home = found.withColumnRenamed("kind", "is")
+    elsewhere = at_home.where("is = 'answerable'").select("item_id", F.col("asked_in").alias("there"))
+    rows = claimed.join(at_home, ["item_id", "asked_in"])
+    other = rows.join(elsewhere, "item_id").where("there <> asked_in").select("item_id", "asked_in", F.lit(True).alias("else")).distinct()
+    rows = rows.join(other, ["item_id", "asked_in"], "left")
+    violation = (
+        F.when((F.col("kind") == "out-of-corpus") & (F.col("is") == "answerable"), "stands in its own jurisdiction")
+        .when((F.col("kind") == "out-of-corpus") & F.col("else"), "stands in another jurisdiction")
+        .when((F.col("kind") == "out-of-jurisdiction") & (F.col("is") == "answerable"), "answerable where it was asked")
+        .when((F.col("kind") == "out-of-jurisdiction") & F.col("else").isNull(), "answerable nowhere")
+    )
+    return rows.select("item_id", "asked_in", violation.alias("violation")).where("violation is not null")
+
+
+def shared(ix: index.Index, benchmark: DataFrame, need: DataFrame, analysers: tuple[str, ...] = T.ANALYSERS) -> DataFrame:
+    """item_id, asked_in, analyser, doc_id, lexeme: lexemes of a question in a passage that it needs, whatever its rank."""
+    queries = index.query_lexemes(index.questions(benchmark)).where(F.col("analyser").isin(*analysers))
+    own = ix.counts.join(need.select("doc_id").distinct(), "doc_id", "left_semi").join(index.small(index.lexicon(ix, queries, analysers)), "word").select("doc_id", "analyser", "lexeme").distinct()
+    return own.join(need, "doc_id").join(queries, ["item_id", "analyser", "lexeme"]).select("item_id", "asked_in", "analyser", "doc_id", "lexeme")
+
 
+def matching(ix: index.Index, benchmark: DataFrame, need: DataFrame) -> DataFrame:
+    """item_id, analyser, doc_id, n_shared: needed passages that share a lexeme with their question."""
+    return shared(ix, benchmark, need).groupBy("item_id", "asked_in", "analyser", "doc_id").agg(F.count("*").alias("n_shared"))
 
-def outcomes(documents: DataFrame, benchmark: DataFrame, hits: DataFrame, analysers: tuple[str, ...], norms: tuple[int, ...] = rank.NORMS) -> DataFrame:
-    """One row per question, jurisdiction and cell: found, missed by kind, first position, leakage.
+
+def outcomes(ix: index.Index, benchmark: DataFrame, need: DataFrame, hits: DataFrame, analysers: tuple[str, ...], norms: tuple[int, ...] = rank.NORMS) -> DataFrame:
+    """One row per question, jurisdiction and cell: found, missed by kind, first position, leakage; need: ``population``.
 
     A miss is unreachable if the passage shares no lexeme with the question, else out-ranked. Leaked lexemes are the question's
     that stand in a passage it needs.
     """
-    asked = index.questions(benchmark)
-    need = population(documents, benchmark)
-    queries = index.query_lexemes(asked)
-    shares = matching(documents, benchmark, need)
-    cells = documents.sparkSession.createDataFrame([(a, n) for a in analysers for n in norms], "analyser string, norm int")
+    queries = index.query_lexemes(index.questions(benchmark))
+    common = shared(ix, benchmark, need, analysers)
+    shares = common.groupBy("item_id", "asked_in", "analyser", "doc_id").agg(F.count("*").alias("n_shared"))
+    cells = need.sparkSession.createDataFrame([(a, n) for a in analysers for n in norms], "analyser string, norm int")
     grid = need.join(F.broadcast(cells))  # a fixed grid of cells
     grid = grid.join(hits.select("item_id", "asked_in", *CELL, "doc_id", "position"), ["item_id", "asked_in", *CELL, "doc_id"], "left")
     grid = grid.join(shares, ["item_id", "asked_in", "analyser", "doc_id"], "left")
@@ -55,9 +92,7 @@ def outcomes(documents: DataFrame, benchmark: DataFrame, hits: DataFrame, analys
         F.count(F.when(F.col("position").isNull() & F.col("n_shared").isNull(), 1)).alias("n_unreachable"),
         F.count(F.when(F.col("position").isNull() & F.col("n_shared").isNotNull(), 1)).alias("n_outranked"),
     )
-    chunk = index.passages(documents).join(need.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = index.occurrences(chunk, F.col("body"), "doc_id").select("doc_id", "analyser", "lexeme").distinct()
-    leaked = own.join(need, "doc_id").join(queries, ["item_id", "analyser", "lexeme"]).groupBy("item_id", "asked_in", "analyser").agg(F.countDistinct("lexeme").alias("n_leaked"))
+    leaked = common.groupBy("item_id", "asked_in", "analyser").agg(F.countDistinct("lexeme").alias("n_leaked"))
     sizes = queries.groupBy("item_id", "analyser").agg(F.count("*").alias("n_query"))
     return rows.join(sizes, ["item_id", "analyser"], "left").join(leaked, ["item_id", "asked_in", "analyser"], "left").na.fill(0, ["n_query", "n_leaked"])
 
@@ -112,5 +147,11 @@ def regressions(recorded: DataFrame, measured: DataFrame) -> DataFrame:
     return structure.unionByName(worse.join(F.broadcast(broken)).where("n_structural = 0").drop("n_structural"))
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, analysers: tuple[str, ...], norms: tuple[int, ...] = rank.NORMS, k: int = rank.K) -> DataFrame:
-    return rank.ranked(rank.scored(documents, benchmark, rank.authorities(documents), analysers), norms, k)
+def hits(ix: index.Index, benchmark: DataFrame, analysers: tuple[str, ...], norms: tuple[int, ...] = rank.NORMS, k: int = rank.K) -> DataFrame:
+    return rank.ranked(rank.scored(ix, benchmark, rank.authorities(ix), analysers), norms, k)
+
+
+def power(pairs: DataFrame) -> DataFrame:
+    """Both triangles of ``discordance``: cell_a, cell_b, d (pairs that differ), p."""
+    both = pairs.select("cell_a", "cell_b", "a_only", "b_only", "p").unionByName(pairs.select(F.col("cell_b").alias("cell_a"), F.col("cell_a").alias("cell_b"), F.col("b_only").alias("a_only"), F.col("a_only").alias("b_only"), "p"))
+    return both.select("cell_a", "cell_b", (F.col("a_only") + F.col("b_only")).alias("d"), "p")

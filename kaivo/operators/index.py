@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kaivo.functions import text as T
@@ -62,21 +64,83 @@ def query_lexemes(asked: DataFrame) -> DataFrame:
     return occurrences(asked, F.col("question"), "item_id").select("item_id", "analyser", "lexeme").distinct()
 
 
-def required(chunk: DataFrame, asked: DataFrame) -> DataFrame:
-    """item_id, doc_id, authority: passages that contain the question's text. Labels come from the text, never from the ranking.
+@dataclass(frozen=True)
+class Index:
+    """The inverted index of a corpus: what every ranking and evaluation reads instead of the texts.
 
-    The questions are the small side: a benchmark, fixed in size, whose rows are counted before they are broadcast.
+    counts: word, authority, doc_id, n (of kept words: one posting table for all analysers, as a lexeme is the sum of its words);
+    words: the distinct ones; lengths: analyser, doc_id, length; chunks: the passages themselves.
     """
-    small = asked.where("question is not null and question <> ''")
-    if small.count() > 100_000:
-        raise ValueError("more than 100,000 questions: label them in portions")
-    return chunk.join(F.broadcast(small), F.expr("contains(body, question)")).select("item_id", "doc_id", "authority")
 
+    counts: DataFrame
+    words: DataFrame
+    lengths: DataFrame
+    chunks: DataFrame
 
-def phrase_hits(chunk: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase_id, doc_id where a phrase's words stand next to each other in order; phrases: phrase_id, ord (from 0), lexeme (alternatives: several rows)."""
-    base = occurrences(chunk, F.col("body"), "doc_id").where("analyser = 'base'")
-    need = phrases.groupBy("phrase_id").agg(F.countDistinct("ord").alias("n"))
-    met = base.join(F.broadcast(phrases), "lexeme").groupBy("phrase_id", "doc_id", (F.col("position") - F.col("ord")).alias("start")).agg(F.countDistinct("ord").alias("met"))
-    return met.join(F.broadcast(need), "phrase_id").where("met = n").select("phrase_id", "doc_id").distinct()
 
+def of(documents: DataFrame) -> Index:
+    """The index as a plan: for one question, or to be stored."""
+    chunk = passages(documents)
+    counts = word_counts(chunk).select("word", "authority", "doc_id", "n")
+    return Index(counts, counts.select("word").distinct(), lengths(chunk), chunk)
+
+
+def load(spark: SparkSession, folder: str, documents: DataFrame) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{part}") for part in ("counts", "words", "lengths")), passages(documents))
+
+
+def store(documents: DataFrame, folder: str) -> Index:
+    """Builds the index once: texts are taken apart in one pass, postings lie in ranges of words, so that a scan skips those it doesn't need."""
+    spark = documents.sparkSession
+    chunk = passages(documents)
+    word_counts(chunk).select("word", "authority", "doc_id", "n").repartitionByRange("word").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    counts.select("word").distinct().write.mode("overwrite").parquet(f"{folder}/words")
+    without = chunk.select("authority", "doc_id", F.lit("").alias("word"), F.lit(0).cast("long").alias("n"))
+    _by_analyser(counts.select("authority", "doc_id", "word", "n").unionByName(without), T.ANALYSERS).write.mode("overwrite").parquet(f"{folder}/lengths")
+    return load(spark, folder, documents)
+
+
+#: A table is broadcast up to so many rows, counted first; beyond that Spark joins it by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def lexicon(ix: Index, wanted: DataFrame, analysers: tuple[str, ...] = T.ANALYSERS) -> DataFrame:
+    """word, analyser, lexeme of the corpus' words that yield a wanted lexeme (analyser, lexeme)."""
+    made = ix.words.select("word", F.explode(T.lexemes(F.col("word"), analysers)).alias("x")).where("x.lexeme is not null").select("word", "x.analyser", "x.lexeme")
+    return made.join(wanted, ["analyser", "lexeme"], "left_semi")
+
+
+def required(ix: Index, asked: DataFrame) -> DataFrame:
+    """item_id, doc_id, authority: passages that contain the question's text, whatever the case. Labels come from the text, never from the ranking.
+
+    Candidates are the passages with the question's rarest word, of those that stand inside it between others and so are whole words of
+    any text that contains it. A question without such a word is looked for in all passages.
+    """
+    needle = asked.where("question is not null and question <> ''").select("item_id", F.lower("question").alias("needle"))
+    inner = T.kept(F.regexp_replace("needle", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", " "))
+    own = needle.select("item_id", "needle", F.explode_outer(inner).alias("word"))
+    seen = ix.counts.join(small(own.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rare = own.join(seen, "word", "left").groupBy("item_id", "needle").agg(F.min(F.when(F.col("word").isNotNull(), F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("x"))
+    near = ix.counts.select("word", "doc_id").join(small(rare.where("x is not null").select("item_id", "needle", "x.word")), "word").select("item_id", "needle", "doc_id").distinct()
+    held = F.expr("contains(lower(body), needle)")
+    found = ix.chunks.join(near, "doc_id").where(held)
+    every = ix.chunks.join(small(rare.where("x is null").select("item_id", "needle")), held)
+    return found.select("item_id", "doc_id", "authority").unionByName(every.select("item_id", "doc_id", "authority"))
+
+
+def phrase_hits(ix: Index, phrases: DataFrame) -> DataFrame:
+    """phrase_id, doc_id, authority where a phrase's words stand next to each other in order; phrases: phrase_id, ord (from 0), lexeme (alternatives: several rows).
+
+    Only passages with a word of each place are taken apart again for its positions.
+    """
+    some = small(phrases)
+    need = phrases.groupBy("phrase_id").agg(F.countDistinct("ord").alias("n"))
+    near = ix.counts.join(some, F.col("word") == F.col("lexeme")).groupBy("phrase_id", "doc_id").agg(F.countDistinct("ord").alias("n")).join(need, ["phrase_id", "n"]).select("doc_id").distinct()
+    placed = ix.chunks.join(near, "doc_id", "left_semi").select("doc_id", "authority", F.posexplode(T.kept(F.col("body"))).alias("at", "lexeme"))
+    met = placed.join(some, "lexeme").groupBy("phrase_id", "doc_id", "authority", (F.col("at") - F.col("ord")).alias("start")).agg(F.countDistinct("ord").alias("n"))
+    return met.join(need, ["phrase_id", "n"]).select("phrase_id", "doc_id", "authority").distinct()

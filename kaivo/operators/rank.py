@@ -16,42 +16,39 @@ K = 5
 NORMS = (0, 1, 2)
 
 
-def scored(documents: DataFrame, benchmark: DataFrame, authorities: DataFrame | None, analysers: tuple[str, ...]) -> DataFrame:
+def scored(ix: index.Index, benchmark: DataFrame, authorities: DataFrame | None, analysers: tuple[str, ...]) -> DataFrame:
     """item_id, asked_in, analyser, doc_id, authority, score (before length normalisation), length.
 
-    authorities (asked_in): each question is asked under each; only passages of that jurisdiction are candidates, by a join
-    key below the ranking. None: no jurisdiction at all (the negative control).
+    authorities (asked_in): each question is asked under each; only passages of that jurisdiction are candidates: postings of others
+    are left out before anything is counted. None: no jurisdiction at all (the negative control).
     """
-    chunk = index.passages(documents)
     wanted = index.query_lexemes(index.questions(benchmark)).where(F.col("analyser").isin(*analysers))
-    sizes = wanted.groupBy("item_id", "analyser").agg(F.count("*").alias("n"))
-    # the query side is a benchmark of fixed size; postings are cut to its lexemes before they are grouped
-    lexemes = wanted.select("analyser", "lexeme").distinct()
-    tf = index.frequencies(index.word_counts(chunk), analysers).join(F.broadcast(lexemes), ["analyser", "lexeme"])
-    tf = tf.groupBy("analyser", "authority", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
-    pairs = tf.withColumn("w", h2(F.col("tf"))).join(F.broadcast(wanted), ["analyser", "lexeme"])
-    sums = pairs.groupBy("item_id", "analyser", "authority", "doc_id").agg(F.sum("w").alias("w")).join(F.broadcast(sizes), ["item_id", "analyser"])
-    sums = sums.select("item_id", "analyser", "authority", "doc_id", (0.1 * F.col("w") / ZETA2 / F.col("n")).alias("score"))
-    if authorities is None:
-        sums = sums.withColumn("asked_in", F.lit(None).cast("string"))
-    else:
-        sums = sums.join(F.broadcast(authorities), F.col("authority") == F.col("asked_in"))
-    return sums.join(index.lengths(chunk, analysers, False), ["analyser", "doc_id"])
+    sizes = wanted.groupBy("item_id", "analyser").agg(F.count("*").alias("n_query"))
+    asked = index.small(wanted.join(sizes, ["item_id", "analyser"]))
+    # postings are cut to the words that yield a lexeme of a question before they are grouped
+    counts = ix.counts if authorities is None else ix.counts.join(index.small(authorities), F.col("authority") == F.col("asked_in"), "left_semi")
+    tf = counts.join(index.small(index.lexicon(ix, wanted, analysers)), "word").groupBy("analyser", "authority", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
+    sums = tf.withColumn("w", h2(F.col("tf"))).join(asked, ["analyser", "lexeme"]).groupBy("item_id", "analyser", "authority", "doc_id", "n_query").agg(F.sum("w").alias("w"))
+    asked_in = F.lit(None).cast("string") if authorities is None else F.col("authority")
+    sums = sums.select("item_id", "analyser", "authority", "doc_id", (0.1 * F.col("w") / ZETA2 / F.col("n_query")).alias("score"), asked_in.alias("asked_in"))
+    return sums.join(ix.lengths.where(F.col("analyser").isin(*analysers)), ["analyser", "doc_id"])
 
 
 def ranked(scores: DataFrame, norms: tuple[int, ...] = NORMS, k: int = K) -> DataFrame:
     """item_id, asked_in, analyser, norm, position (from 1, to k), doc_id, authority, rank. Scores are made once for all norms."""
     if k < 1:
         raise ValueError("k must be 1 or more")
+    if not set(norms) <= set(NORMS):
+        raise ValueError(f"unknown normalisation among {norms}")
     cells = scores.withColumn("norm", F.explode(F.array(*(F.lit(n) for n in norms))))
     cells = cells.withColumn("rank", F.round(F.col("score") / length_divisor(F.col("norm"), F.col("length")), 9))
     order = Window.partitionBy("item_id", "asked_in", "analyser", "norm").orderBy(F.desc("rank"), F.asc("doc_id"))
     return cells.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("item_id", "asked_in", "analyser", "norm", "position", "doc_id", "authority", F.round("rank", 6).alias("rank"))
 
 
-def authorities(documents: DataFrame) -> DataFrame:
+def authorities(ix: index.Index) -> DataFrame:
     """asked_in: every jurisdiction."""
-    return documents.where("lang is not null").select(F.col("lang").alias("asked_in")).distinct()
+    return ix.chunks.where("authority is not null").select(F.col("authority").alias("asked_in")).distinct()
 
 
 def ask(documents: DataFrame, question: str, authority: str, analyser: str = "stem", norm: int = 0, k: int = K) -> DataFrame:
@@ -61,4 +58,5 @@ def ask(documents: DataFrame, question: str, authority: str, analyser: str = "st
     spark = documents.sparkSession
     one = spark.createDataFrame([(0, question)], "item_id long, text string")
     where = spark.createDataFrame([(authority,)], "asked_in string")
-    return ranked(scored(documents, one, where, (analyser,)), (norm,), k)
+    here = documents.where(F.col("lang") == authority)  # reaches the scan
+    return ranked(scored(index.of(here), one, where, (analyser,)), (norm,), k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from kaivo.functions import stats as S
 from kaivo.functions import text as T
 from kaivo.operators import contracts, evaluate, index, judged, ledger, rank, structure
 from kaivo.plans import oracles
+from kaivo.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -35,6 +37,38 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark")
 
 
+_folders: dict[tuple[str, ...], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, name: str, tables: tuple[str, ...], build: Callable[[str], object]) -> str:
+    """A folder that ``build`` has filled from these tables, once a session: it lies in the shared folder and is made again if a table changes."""
+    jvm, stamps = spark.sparkContext._jvm, []
+    for t in tables:
+        at = jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stamps += [fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()]
+    key = (spark.sparkContext.applicationId, d, name, *map(str, stamps))
+    if key not in _folders:
+        folder = f"{shared_dir(spark)}/kaivo-index/{name}-{uuid.uuid4().hex}"
+        build(folder)
+        _folders[key] = folder
+    return _folders[key]
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    return index.load(spark, _stored(spark, d, "index", ("documents",), lambda folder: index.store(_docs(spark, d), folder)), table(spark, d, "documents"))
+
+
+def _need(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, found in the texts once."""
+    folder = _stored(spark, d, "labels", ("documents", "benchmark"), lambda folder: evaluate.population(_index(spark, d), _asked(spark, d)).write.parquet(folder))
+    return spark.read.schema("item_id long, asked_in string, doc_id long").parquet(folder)
+
+
+def _hits(spark: SparkSession, d: str, analysers: tuple[str, ...] = (T.CONTROL,), norms: tuple[int, ...] = rank.NORMS, k: int = rank.K) -> DataFrame:
+    return evaluate.hits(_index(spark, d), _asked(spark, d), analysers, norms, k)
+
+
 @query
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.count("source").alias("with_source"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
@@ -48,20 +82,20 @@ def postings_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexeme_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = index.postings(index.passages(_docs(spark, d))).groupBy("analyser").agg(F.count("*").alias("postings"), F.sum("tf").alias("positions"))
+    p = index.frequencies(_index(spark, d).counts).groupBy("analyser", "doc_id", "lexeme").agg(F.sum("n").alias("tf")).groupBy("analyser").agg(F.count("*").alias("postings"), F.sum("tf").alias("positions"))
     control = p.where(F.col("analyser") == T.CONTROL).select(F.col("postings").alias("control"))  # one row
     return p.join(F.broadcast(control)).select("analyser", "postings", "positions", F.round(F.col("postings") / F.col("control"), 6).alias("ratio"))
 
 
 @query
 def document_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return index.lengths(index.passages(_docs(spark, d))).select("analyser", "doc_id", F.col("length").cast("long").alias("length"))
+    return _index(spark, d).lengths.select("analyser", "doc_id", F.col("length").cast("long").alias("length"))
 
 
 @query
 def empty_index(spark: SparkSession, d: str) -> DataFrame:
     """Passages without a lexeme, by analyser; a corpus is refused if there are any."""
-    return index.lengths(index.passages(_docs(spark, d))).where("length = 0").select("analyser", "doc_id")
+    return _index(spark, d).lengths.where("length = 0").select("analyser", "doc_id")
 
 
 @query
@@ -87,8 +121,7 @@ def index_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 def _topk(norm: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _docs(spark, d)
-        return rank.ranked(rank.scored(docs, _asked(spark, d), rank.authorities(docs), (T.CONTROL,)), (norm,)).drop("analyser", "norm", "authority")
+        return _hits(spark, d, norms=(norm,)).drop("analyser", "norm", "authority")
 
     run.__name__ = f"lexical_topk_norm{norm}"
     return query(run)
@@ -99,68 +132,73 @@ lexical_topk = [_topk(n) for n in rank.NORMS]
 
 @query
 def topk_grid(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.hits(_docs(spark, d), _asked(spark, d), T.ANALYSERS)
+    return _hits(spark, d, T.ANALYSERS)
 
 
 @query
 def topk_without_jurisdiction(spark: SparkSession, d: str) -> DataFrame:
     """The negative control: hits of all jurisdictions, so that leaving the filter out is seen to matter."""
-    found = rank.ranked(rank.scored(_docs(spark, d), _asked(spark, d), None, (T.CONTROL,)), (0,))
+    found = rank.ranked(rank.scored(_index(spark, d), _asked(spark, d), None, (T.CONTROL,)), (0,))
     return found.groupBy("authority").agg(F.count("*").alias("hits"))
 
 
 @query
 def one_authority(spark: SparkSession, d: str) -> DataFrame:
     """Hits outside the jurisdiction that was asked: none."""
-    return evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,)).where("authority <> asked_in").select("item_id", "doc_id")
+    return _hits(spark, d, norms=(0,)).where("authority <> asked_in").select("item_id", "doc_id")
 
 
 @query
 def best_cell(spark: SparkSession, d: str) -> DataFrame:
+    """The cell of highest complete-set recall; of equal ones the first of the grid's order."""
     m = evaluate.metrics(_outcomes(spark, d), *evaluate.CELL)
-    return m.select("analyser", "norm", "complete_set_recall", F.row_number().over(rank.Window.partitionBy().orderBy(F.desc("complete_set_recall"), F.desc("mrr"), "analyser", "norm")).alias("place")).where("place = 1")
+    order = F.struct(-F.col("complete_set_recall"), F.array_position(F.array(*map(F.lit, T.ANALYSERS)), F.col("analyser")), "norm")
+    return m.select(F.min_by(F.struct("analyser", "norm", "complete_set_recall"), order).alias("x")).select("x.*", F.lit(1).alias("place"))
 
 
 @query
 def chunks_containing(spark: SparkSession, d: str) -> DataFrame:
-    return index.required(index.passages(_docs(spark, d)), index.questions(_asked(spark, d)))
+    return index.required(_index(spark, d), index.questions(_asked(spark, d)))
 
 
 @query
 def resolve_labels(spark: SparkSession, d: str) -> DataFrame:
     """Questions without any passage."""
-    need = evaluate.population(_docs(spark, d), _asked(spark, d))
+    need = _need(spark, d)
     return _asked(spark, d).join(need, "item_id", "left_anti").select("item_id")
 
 
 @query
 def addresses_matching(spark: SparkSession, d: str) -> DataFrame:
-    need = evaluate.population(_docs(spark, d), _asked(spark, d))
-    return evaluate.matching(_docs(spark, d), _asked(spark, d), need)
+    return evaluate.matching(_index(spark, d), _asked(spark, d), _need(spark, d))
 
 
 @query
 def chunk_lexemes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct lexemes of the passages that a question needs."""
-    need = evaluate.population(_docs(spark, d), _asked(spark, d)).select("doc_id").distinct()
-    return index.occurrences(index.passages(_docs(spark, d)).join(need, "doc_id", "left_semi"), F.col("body"), "doc_id").where(F.col("analyser") == T.CONTROL).groupBy("doc_id").agg(F.countDistinct("lexeme").alias("lexemes"))
+    own = _index(spark, d).counts.join(_need(spark, d).select("doc_id").distinct(), "doc_id", "left_semi")
+    return index.frequencies(own, (T.CONTROL,)).groupBy("doc_id").agg(F.countDistinct("lexeme").alias("lexemes"))
 
 
 @query
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the first three kept words of a question, adjacent and in order."""
-    p = _asked(spark, d).select(F.col("item_id").alias("phrase_id"), F.posexplode(F.slice(T.kept(F.col("text")), 1, 3)).alias("ord", "lexeme"))
-    return index.phrase_hits(index.passages(_docs(spark, d)), p)
+    """Documents with all kept words of a question, adjacent and in order."""
+    p = _asked(spark, d).select(F.col("item_id").alias("phrase_id"), F.posexplode(T.kept(F.col("text"))).alias("ord", "lexeme"))
+    return index.phrase_hits(_index(spark, d), p).select("phrase_id", "doc_id")
 
 
 @query
 def presence_two_sided(spark: SparkSession, d: str) -> DataFrame:
-    """Each question: jurisdictions that hold its text, and the kind of refusal it would be elsewhere."""
-    need = evaluate.population(_docs(spark, d), _asked(spark, d)).select("item_id", "asked_in").distinct().withColumn("there", F.lit(True))
-    grid = _asked(spark, d).select("item_id").join(F.broadcast(rank.authorities(_docs(spark, d)))).join(need, ["item_id", "asked_in"], "left")
-    anywhere = need.select("item_id").distinct().withColumn("anywhere", F.lit(True))
-    kind = F.when(F.col("there"), "answerable").when(F.col("anywhere"), "out-of-jurisdiction").otherwise("out-of-corpus")
-    return grid.join(anywhere, "item_id", "left").select("item_id", "asked_in", kind.alias("kind"))
+    """Each question: jurisdictions that hold its text, by either detector, and the kind of refusal it would be elsewhere."""
+    return evaluate.kinds(_index(spark, d), _asked(spark, d), _need(spark, d))
+
+
+@query
+def refusal_absence(spark: SparkSession, d: str) -> DataFrame:
+    """Claims that a question is in no corpus (even ids) or in another one only (odd ids), in each jurisdiction: those that the corpus contradicts."""
+    found = presence_two_sided(spark, d)
+    claimed = found.select("item_id", "asked_in", F.when(F.col("item_id") % 2 == 0, "out-of-corpus").otherwise("out-of-jurisdiction").alias("kind"))
+    return evaluate.absence_violations(found, claimed)
 
 
 @query
@@ -169,8 +207,8 @@ def refusal_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str, analysers: tuple[str, ...] = T.ANALYSERS, k: int = rank.K) -> DataFrame:
-    docs, asked = _docs(spark, d), _asked(spark, d)
-    return evaluate.outcomes(docs, asked, evaluate.hits(docs, asked, analysers, k=k), analysers)
+    ix, asked = _index(spark, d), _asked(spark, d)
+    return evaluate.outcomes(ix, asked, _need(spark, d), evaluate.hits(ix, asked, analysers, k=k), analysers)
 
 
 @query
@@ -205,6 +243,14 @@ def discordance_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.discordance(_outcomes(spark, d, k=1))
 
 
+@query
+def power_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Differing pairs and p of each two cells, in both triangles, as a table of the control's cells."""
+    x = evaluate.power(evaluate.discordance(_outcomes(spark, d, (T.CONTROL,), 1)))
+    cells = [f"{T.CONTROL}/{n}" for n in rank.NORMS]
+    return x.groupBy("cell_a").pivot("cell_b", cells).agg(F.first("d")).select(F.col("cell_a").alias("cell"), *(F.col(f"`{c}`").alias(f"d{k}") for k, c in enumerate(cells)))
+
+
 @query
 def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
     """The gate, with the run at k = 1 against the one at k = 5: what fell."""
@@ -214,7 +260,7 @@ def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
 @query
 def run_drift(spark: SparkSession, d: str) -> DataFrame:
     """Contexts of two runs (norms 0 and 1) as sets, by full outer join: missing, extra or drifted questions."""
-    h = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0, 1))
+    h = _hits(spark, d, norms=(0, 1))
     side = lambda n: h.where(F.col("norm") == n).groupBy("item_id", "asked_in").agg(F.array_sort(F.collect_list("doc_id")).alias(f"c{n}"))
     both = side(0).join(side(1), ["item_id", "asked_in"], "full_outer")
     state = F.when(F.col("c1").isNull(), "missing").when(F.col("c0").isNull(), "extra").when(F.col("c0") != F.col("c1"), "drifted").otherwise("same")
@@ -265,10 +311,10 @@ def pending_units(spark: SparkSession, d: str) -> DataFrame:
 
 def _cited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Citations made of the ranking: as they are, in upper case with blanks, of another jurisdiction, of no day, and plain text."""
-    h = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,)).withColumn("qid", F.concat_ws("-", "item_id", "asked_in"))
+    h = _hits(spark, d, norms=(0,)).withColumn("qid", F.concat_ws("-", "item_id", "asked_in"))
     a = T.address(F.col("authority"), F.lit("2024-03-01"), F.col("doc_id") + 1, F.lit(None).cast("string"))
     raw = F.array(a, F.concat(F.lit("  "), F.upper(a), F.lit(" ")), F.concat(F.lit("xx"), F.substring(a, 3, 99)), F.replace(a, F.lit("-03-01"), F.lit("-13-41")), F.lit("see above"), F.concat(a, F.lit(".sub")))
-    cited = h.where("position <= 2").select("qid", F.col("asked_in").alias("authority"), F.col("position").alias("hit"), F.posexplode(raw).alias("n", "raw")).select("qid", "authority", (F.col("hit") * 10 + F.col("n")).alias("pos"), "raw")
+    cited = h.select("qid", F.col("asked_in").alias("authority"), F.col("position").alias("hit"), F.posexplode(raw).alias("n", "raw")).select("qid", "authority", (F.col("hit") * 10 + F.col("n")).alias("pos"), "raw")
     return cited, h.select("qid", a.alias("address"))
 
 
@@ -287,9 +333,8 @@ def address_validity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def first_citation(spark: SparkSession, d: str) -> DataFrame:
     """The first retrieved passage of each jurisdiction, by question and position."""
-    h = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,))
-    order = rank.Window.partitionBy("authority").orderBy("item_id", "position")
-    return h.withColumn("n", F.row_number().over(order)).where("n = 1").select("authority", "item_id", "doc_id")
+    h = _hits(spark, d, norms=(0,))
+    return h.groupBy("authority").agg(F.min(F.struct("item_id", "position", "doc_id")).alias("x")).select("authority", "x.item_id", "x.doc_id")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +354,7 @@ def verdict_envelopes(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes made of conversation turns, some of them broken, through the parser: units by kind and problem."""
     t = _turns(spark, d)
     h = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(9))
-    q = F.substring("answer", 1, 20)
+    q = F.col("answer")
     good = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("index"), (h % 2 == 0).alias("stated"), (h % 3 == 0).alias("supported"), q.alias("quote"))).alias("branches"), F.array(F.struct(F.lit(1).alias("index"), (h == 4).alias("asserted"), F.col("question").alias("quote"))).alias("forbidden")))
     raw = F.when(h == 7, "").when(h == 8, "[1]").when(h == 5, '{"branches": []}').otherwise(good)
     rows = t.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), raw.alias("raw"), (h == 6).alias("refused"), "answer", F.lit(1).alias("n_branches"), F.lit(1).alias("n_forbidden"))
@@ -321,8 +366,8 @@ def verdict_envelopes(spark: SparkSession, d: str) -> DataFrame:
 def refusal_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Both populations; an answer counts as refused if the question has fewer than three hits' worth of score at the top."""
     kinds = presence_two_sided(spark, d)
-    top = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,), 1).select("item_id", "asked_in", "rank", "doc_id")
-    need = evaluate.population(_docs(spark, d), _asked(spark, d))
+    top = _hits(spark, d, norms=(0,), k=1).select("item_id", "asked_in", "rank", "doc_id")
+    need = _need(spark, d)
     hit = need.join(top, ["item_id", "asked_in", "doc_id"]).select("item_id", "asked_in").distinct().withColumn("complete", F.lit(True))
     rows = kinds.join(top.drop("doc_id"), ["item_id", "asked_in"], "left").join(hit, ["item_id", "asked_in"], "left")
     rows = rows.select("kind", F.when(F.col("kind") == "answerable", "answerable").otherwise("refusal").alias("population"), (F.coalesce("rank", F.lit(0.0)) < 0.05).alias("refused"), F.coalesce("complete", F.lit(False)).alias("complete"))
@@ -331,7 +376,7 @@ def refusal_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"), T.plain_title(F.substring("text", 1, 40)).alias("title"))
+    return _docs(spark, d).select("doc_id", T.slug(F.col("text")).alias("slug"), F.md5(T.plain_title(F.col("text"))).alias("title"))
 
 
 @query
@@ -368,14 +413,14 @@ def front_matter_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_breaks(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(F.substring("text", 1, 30), F.lit("\n\f"), F.substring("text", 31, 30), F.lit("\f\n\f  Next"), F.substring("text", 61, 30))
-    return _docs(spark, d).select("doc_id", T.page_breaks(made).alias("text"), F.length(made).cast("long").alias("before"))
+    made = F.concat(F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\f ")), F.lit(", "), F.lit(",\f ")), F.lit("\n\f  Next\f"))
+    return _docs(spark, d).select("doc_id", F.md5(T.page_breaks(made)).alias("text"), T.n_page_breaks(made).alias("breaks"), F.length(made).cast("long").alias("before"))
 
 
 @query
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     made = F.replace(F.replace(F.col("text"), F.lit("an"), F.lit("a-\nn")), F.lit("th"), F.lit("-\nja th"))
-    return _docs(spark, d).select("doc_id", F.length(T.dehyphenated(made)).cast("long").alias("chars"), F.sha2(T.dehyphenated(made), 256).alias("sha256"))
+    return _docs(spark, d).select("doc_id", F.length(T.dehyphenated(made)).cast("long").alias("chars"), F.sha2(T.dehyphenated(made), 256).alias("sha256"), T.n_joins(made).alias("joins"), T.n_guards(made).alias("guards"))
 
 
 @query
@@ -509,14 +554,14 @@ def publication_rule(spark: SparkSession, d: str) -> DataFrame:
 @query
 def context_format(spark: SparkSession, d: str) -> DataFrame:
     """What would be put before a model: bodies of the top three, as a digest."""
-    top = evaluate.hits(_docs(spark, d), _asked(spark, d), (T.CONTROL,), (0,), 3)
+    top = _hits(spark, d, norms=(0,), k=3)
     return contracts.contexts(top, index.passages(_docs(spark, d))).select("item_id", "asked_in", "n", "missing", F.sha2("context", 256).alias("context"))
 
 
 @query
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
     """Documents made of two clauses; in each fourth the second heading has the wrong number."""
-    x = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^a-zA-Z]+", " "))
+    x = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "))
     second = F.when(F.col("doc_id") % 4 == 0, "3").otherwise("2")
     made = F.concat(F.lit("front\n1 § Alpha .... 1\n2 § Beta-\nrule ..... 2\n1 § Alpha\nA "), x, F.lit("\n"), second, F.lit(" § Beta\nrule\nB "), x)
     return structure.split_clauses(structure.sections(_docs(spark, d).select("doc_id", made.alias("text"))))
@@ -524,7 +569,7 @@ def clause_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def definition_units(spark: SparkSession, d: str) -> DataFrame:
-    x = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^a-zA-Z]+", " "))
+    x = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "))
     made = F.concat(F.lit("• A  "), x, F.lit("\n • B "), x, F.lit("\n \nC "), x)
     return structure.definitions(_docs(spark, d).select("doc_id", made.alias("text"))).withColumn("unit", F.col("unit").cast("long"))
 

@@ -56,7 +56,7 @@ hit AS MATERIALIZED (SELECT item_id, asked_in, analyser, norm, position, doc_id,
     SELECT *, row_number() OVER (PARTITION BY item_id, asked_in, analyser, norm ORDER BY rank DESC, doc_id)::INT AS position FROM cells) WHERE position <= {k})"""
 
 
-NEED = """need AS MATERIALIZED (SELECT item_id, lang AS asked_in, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND lang IS NOT NULL)"""
+NEED = """need AS MATERIALIZED (SELECT item_id, lang AS asked_in, doc_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '' AND lang IS NOT NULL)"""
 SHARES = """shares AS MATERIALIZED (
     SELECT item_id, asked_in, analyser, doc_id, count(*) AS n_shared FROM (SELECT DISTINCT doc_id, analyser, lexeme FROM occ SEMI JOIN need USING (doc_id)) o JOIN need USING (doc_id) JOIN qlex USING (item_id, analyser, lexeme) GROUP BY ALL)"""
 LEAKED = """leaked AS (SELECT item_id, asked_in, analyser, count(DISTINCT lexeme) AS n_leaked FROM (SELECT DISTINCT doc_id, analyser, lexeme FROM occ SEMI JOIN need USING (doc_id)) o JOIN need USING (doc_id) JOIN qlex USING (item_id, analyser, lexeme) GROUP BY ALL)"""
@@ -93,13 +93,18 @@ _RATERS = r"""
 x AS (SELECT l.doc_id, source, quality, toxic, text FROM labels l JOIN documents USING (doc_id)),
 units AS (SELECT source AS qid, doc_id, 'quality' AS field, (quality = 1) = ((length(text) - length(translate(text, '#*$%&|!', ''))) * 20 < length(text)) AS same FROM x
     UNION ALL SELECT source, doc_id, 'toxic', (toxic = 1) = contains(lower(text), 'worthless') FROM x)"""
-_KINDS = f"""{NEED},
-kinds AS (SELECT item_id, asked_in, CASE WHEN (item_id, asked_in) IN (SELECT (item_id, asked_in) FROM need) THEN 'answerable' WHEN item_id IN (SELECT item_id FROM need) THEN 'out-of-jurisdiction' ELSE 'out-of-corpus' END AS kind
+PHRASE = f"""
+ptok AS MATERIALIZED (SELECT doc_id, lang, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM (SELECT doc_id, lang, {kept("text")} AS ws FROM documents)),
+pw AS MATERIALIZED (SELECT item_id AS phrase_id, unnest(ws) AS w, unnest(range(len(ws))) AS ord FROM (SELECT item_id, {kept("text")} AS ws FROM benchmark)),
+phrase AS MATERIALIZED (SELECT DISTINCT phrase_id, doc_id, lang FROM (SELECT phrase_id, doc_id, lang, place - ord AS start, count(DISTINCT ord) AS n FROM ptok JOIN pw USING (w) GROUP BY ALL) JOIN (SELECT phrase_id, count(DISTINCT ord) AS n FROM pw GROUP BY 1) USING (phrase_id, n))"""
+_KINDS = f"""{NEED},{PHRASE},
+there AS MATERIALIZED (SELECT item_id, asked_in FROM need UNION SELECT phrase_id, lang FROM phrase WHERE lang IS NOT NULL),
+kinds AS MATERIALIZED (SELECT item_id, asked_in, CASE WHEN (item_id, asked_in) IN (SELECT (item_id, asked_in) FROM there) THEN 'answerable' WHEN item_id IN (SELECT item_id FROM there) THEN 'out-of-jurisdiction' ELSE 'out-of-corpus' END AS kind
     FROM benchmark, (SELECT DISTINCT lang AS asked_in FROM documents WHERE lang IS NOT NULL))"""
 _CITED = f"""{hits(5, f"{_CONTROL} AND norm = 0")},
 h AS (SELECT item_id || '-' || asked_in AS qid, asked_in, position, authority || '@2024-03-01#' || (doc_id + 1) AS a, authority FROM hit),
 cited AS (SELECT qid, asked_in, position * 10 + n AS pos, a, authority, n, CASE n WHEN 0 THEN a WHEN 1 THEN '  ' || upper(a) || ' ' WHEN 2 THEN 'xx' || substr(a, 3) WHEN 3 THEN replace(a, '-03-01', '-13-41') WHEN 4 THEN 'see above' ELSE a || '.sub' END AS raw
-    FROM h, (SELECT unnest(range(6)) AS n) WHERE position <= 2),
+    FROM h, (SELECT unnest(range(6)) AS n)),
 bucket AS (SELECT qid, pos::INT AS pos, raw, CASE WHEN n IN (3, 4) THEN NULL WHEN n = 1 THEN a ELSE raw END AS address, CASE WHEN n IN (3, 4) THEN 'unparseable' WHEN n IN (0, 1) THEN 'inside' WHEN n = 2 THEN 'foreign' ELSE 'outside' END AS bucket FROM cited)"""
 _TURNS = """turns AS (SELECT conv_id, turn, q AS question, text AS answer FROM (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND before = 'user')"""
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -122,15 +127,26 @@ SQL = {
     "topk_grid": f"WITH {hits()} SELECT * FROM hit",
     "topk_without_jurisdiction": f"WITH {hits(5, f'{_CONTROL} AND norm = 0', 'NULL')} SELECT authority, count(*) AS hits FROM hit GROUP BY 1",
     "one_authority": "SELECT item_id, 0::BIGINT AS doc_id FROM benchmark WHERE FALSE",
-    "best_cell": f"WITH {outcomes()}, m AS (SELECT analyser, norm, {METRICS} FROM outcome GROUP BY 1, 2) SELECT analyser, norm, complete_set_recall, 1::INT AS place FROM m ORDER BY complete_set_recall DESC, mrr DESC, analyser, norm LIMIT 1",
-    "chunks_containing": "SELECT item_id, doc_id, lang AS authority FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
+    "best_cell": f"WITH {outcomes()}, m AS (SELECT analyser, norm, {METRICS} FROM outcome GROUP BY 1, 2) SELECT analyser, norm, complete_set_recall, 1::INT AS place FROM m ORDER BY complete_set_recall DESC, list_position(['stem', 'base', 'split', 'prefix'], analyser), norm LIMIT 1",
+    "chunks_containing": "SELECT item_id, doc_id, lang AS authority FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''",
     "resolve_labels": f"WITH {NEED} SELECT item_id FROM benchmark ANTI JOIN need USING (item_id)",
     "addresses_matching": f"WITH {INDEX}, {QUERY}, {NEED}, {SHARES} SELECT * FROM shares",
     "chunk_lexemes": f"WITH {INDEX}, {NEED} SELECT doc_id, count(DISTINCT lexeme) AS lexemes FROM occ SEMI JOIN need USING (doc_id) WHERE {_CONTROL} GROUP BY 1",
-    "phrase_match": f"""WITH {INDEX}, p AS (SELECT item_id AS phrase_id, unnest(ws) AS lexeme, unnest(range(len(ws))) AS ord FROM (SELECT item_id, ({kept("text")})[1:3] AS ws FROM benchmark))
-        SELECT DISTINCT phrase_id, doc_id FROM (SELECT phrase_id, doc_id, position - ord AS start, count(DISTINCT ord) AS n FROM tok JOIN p ON w = lexeme GROUP BY ALL) JOIN (SELECT phrase_id, count(DISTINCT ord) AS n FROM p GROUP BY 1) USING (phrase_id, n)""",
+    "phrase_match": f"""WITH {PHRASE} SELECT phrase_id, doc_id FROM phrase""",
     "presence_two_sided": f"WITH {_KINDS} SELECT * FROM kinds",
     "refusal_kinds": f"WITH {_KINDS} SELECT kind, asked_in, count(*) AS questions FROM kinds GROUP BY ALL",
+    "refusal_absence": f"""WITH {_KINDS}, e AS (SELECT k.*, EXISTS (SELECT 1 FROM there t WHERE t.item_id = k.item_id AND t.asked_in <> k.asked_in) AS other FROM kinds k)
+        SELECT item_id, asked_in, CASE WHEN item_id % 2 = 0 THEN CASE WHEN kind = 'answerable' THEN 'stands in its own jurisdiction' WHEN other THEN 'stands in another jurisdiction' END
+            ELSE CASE WHEN kind = 'answerable' THEN 'answerable where it was asked' WHEN NOT other THEN 'answerable nowhere' END END AS violation FROM e WHERE violation IS NOT NULL""",
+    "power_matrix": f"""WITH {outcomes(1, _CONTROL)}, p AS (SELECT item_id, asked_in, norm, n_found = n_required AS passed FROM outcome)
+        SELECT 'stem/' || a.norm AS cell, {', '.join(f"CASE WHEN a.norm <> {n} THEN count(*) FILTER (b.norm = {n} AND a.passed <> b.passed) END AS d{n}" for n in (0, 1, 2))} FROM p a JOIN p b USING (item_id, asked_in) GROUP BY a.norm""",
+    "verdict_envelopes": f"""WITH {_TURNS}, t AS (SELECT (conv_id * 7 + turn) % 9 AS h FROM turns), e AS (SELECT h, CASE h WHEN 7 THEN 'empty' WHEN 8 THEN 'not an object' WHEN 5 THEN 'missing key' END AS problem FROM t),
+        u AS (SELECT NULL AS unit, problem, NULL::BOOLEAN AS stated, NULL::BOOLEAN AS supported, NULL::BOOLEAN AS asserted, 0 AS incoherent FROM e WHERE problem IS NOT NULL
+            UNION ALL SELECT 'branch', NULL, h % 2 = 0 AND h <> 6, h % 3 = 0 AND h % 2 = 0 AND h <> 6, NULL, (h % 3 = 0 AND h % 2 > 0)::INT + (h = 6 AND h % 2 = 0)::INT FROM e WHERE problem IS NULL
+            UNION ALL SELECT 'forbidden', NULL, NULL, NULL, h = 4 AND h <> 6, (h = 6 AND h = 4)::INT FROM e WHERE problem IS NULL)
+        SELECT unit, problem, count(*) AS units, count(*) FILTER (stated) AS stated, count(*) FILTER (supported) AS supported, count(*) FILTER (asserted) AS asserted, sum(incoherent)::BIGINT AS incoherent FROM u GROUP BY 1, 2""",
+    "dehyphenate": """WITH m AS (SELECT doc_id, text, replace(text, 'th', '-' || chr(10) || 'ja th') AS t FROM documents)
+        SELECT doc_id, length(t)::BIGINT AS chars, sha256(t) AS sha256, ((length(text) - length(replace(text, 'an', ''))) // 2)::BIGINT AS joins, ((length(text) - length(replace(text, 'th', ''))) // 2)::BIGINT AS guards FROM m""",
     "required_found_missed": f"WITH {outcomes(5, _CONTROL)} SELECT item_id, asked_in, norm, n_required, n_found, first_position, n_unreachable, n_outranked FROM outcome",
     "lexical_leakage": f"WITH {outcomes(5, _CONTROL)} SELECT item_id, asked_in, n_query, n_leaked, round(n_leaked / nullif(n_query, 0), 6) AS leakage FROM outcome WHERE norm = 0",
     "grid_metrics": f"WITH {outcomes()} SELECT analyser, norm, {METRICS} FROM outcome GROUP BY 1, 2",
@@ -167,7 +183,7 @@ SQL = {
         SELECT refusals, correct, emitted, excused, round(correct / nullif(refusals, 0), 6) AS recall, round({_wilson("correct", "refusals")[0]}, 6) AS recall_low, round({_wilson("correct", "refusals")[1]}, 6) AS recall_high,
             round(correct / nullif(emitted, 0), 6) AS precision, round(CASE WHEN emitted > 0 THEN {_wilson("correct", "emitted")[0]} ELSE 0 END, 6) AS precision_low, round(CASE WHEN emitted > 0 THEN {_wilson("correct", "emitted")[1]} ELSE 1 END, 6) AS precision_high,
             round(correct / nullif(emitted - excused, 0), 6) AS restricted_precision FROM s""",
-    "slugify": rf"SELECT doc_id, {_SLUG.format('left(text, 40)')} AS slug, lower(regexp_replace(left(text, 40), '[\s\-\x{{2010}}-\x{{2015}}]+', '', 'g')) AS title FROM documents",
+    "slugify": rf"SELECT doc_id, {_SLUG.format('text')} AS slug, md5(lower(regexp_replace(text, '[\s\-\x{{2010}}-\x{{2015}}]+', '', 'g'))) AS title FROM documents",
     "address_parse": """WITH a AS (SELECT doc_id, lang, source, lang || '@2024-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-15#' || (doc_id % 7) || CASE WHEN doc_id % 2 = 0 THEN '.' || source ELSE '' END AS address, doc_id % 14 BETWEEN 1 AND 12 AND doc_id % 7 > 0 AS ok FROM documents)
         SELECT doc_id, address, CASE WHEN ok THEN lang END AS authority, CASE WHEN ok THEN address[4:13] END AS day, CASE WHEN ok THEN doc_id % 7 END AS clause, CASE WHEN ok AND doc_id % 2 = 0 THEN source END AS sub FROM a""",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256, source || ' (' || lang || ')' AS citation FROM documents",
@@ -178,8 +194,8 @@ SQL = {
         SELECT doc_id, unit, arg_min(slug, n) FILTER (same = 1 AND slug <> '') AS key FROM s GROUP BY 1, 2""",
     "section_split": "SELECT doc_id, 'front 1.2.2024' AS front, (length(string_split(text, chr(10))[1]) + 11 + 7 + 1 + length(string_split(text, chr(10))[-1]) + 8)::BIGINT AS toc_chars, sha256(text) AS body FROM documents",
     "front_matter_dates": "SELECT doc_id, CASE WHEN doc_id % 31 > 0 AND doc_id % 13 > 0 AND try_cast('2024-' || (doc_id % 13) || '-' || (doc_id % 31) AS DATE) IS NOT NULL THEN '2023-05-01,2024-' || lpad((doc_id % 13)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31)::VARCHAR, 2, '0') ELSE '2023-05-01' END AS dates FROM documents",
-    "page_breaks": r"""WITH m AS (SELECT doc_id, left(text, 30) || chr(10) || chr(12) || text[31:60] || chr(12) || chr(10) || chr(12) || '  Next' || text[61:90] AS t FROM documents)
-        SELECT doc_id, replace(regexp_replace(t, '(?m)^\f+([ \t]*[\p{Lu}•*])', chr(10) || '\1', 'g'), chr(12), '') AS text, length(t)::BIGINT AS before FROM m""",
+    "page_breaks": r"""WITH m AS (SELECT doc_id, replace(replace(text, '. ', '.' || chr(10) || chr(12) || ' '), ', ', ',' || chr(12) || ' ') || chr(10) || chr(12) || '  Next' || chr(12) AS t FROM documents)
+        SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(?m)^\f+([ \t]*[\p{Lu}•*])', chr(10) || '\1', 'g'), '(?m)^\f+', '', 'g')) AS text, len(regexp_extract_all(t, '(?m)^\f+[ \t]*[\p{Lu}•*]'))::BIGINT AS breaks, length(t)::BIGINT AS before FROM m""",
     "municipality_status": """WITH dim AS (SELECT lower(n_name) AS place, n_regionkey FROM nation), d2 AS (SELECT * FROM dim UNION ALL SELECT place, 2 FROM dim WHERE n_regionkey = 1 AND place LIKE 'a%'), known AS (SELECT place, count(*) AS n FROM d2 GROUP BY 1),
         asked AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN ' ' WHEN c_custkey % 10 = 1 THEN 'Atlantis' ELSE array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT a.place, CASE WHEN trim(a.place) = '' THEN 'blank' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, count(*) AS asked FROM asked a LEFT JOIN known k ON lower(a.place) = k.place GROUP BY 1, 2""",
@@ -207,8 +223,8 @@ SQL = {
     "control_floor": """SELECT shape, count(*) AS total, count(*) FILTER (caught) AS caught, bool_and(coalesce(caught, false)) AS passed FROM (SELECT concat_ws('-', quality, toxic) AS shape, toxic = 1 OR doc_id % 2 = 0 AS caught FROM labels) GROUP BY ROLLUP (shape)""",
     "publication_rule": f"WITH {_RATERS}, n AS (SELECT field, count(*) AS units, count(*) FILTER (same) AS agreed FROM units GROUP BY 1) SELECT *, round(agreed / units, 6) AS rate, agreed / units >= 0.85 AS published FROM n",
     "context_format": f"""WITH {hits(3, f"{_CONTROL} AND norm = 0")} SELECT item_id, asked_in, count(*) AS n, count(*) FILTER (text IS NULL) AS missing, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY position)) AS context FROM hit LEFT JOIN documents USING (doc_id) GROUP BY 1, 2""",
-    "clause_split": """WITH x AS (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 80), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest([1, 2]) AS clause FROM documents)
+    "clause_split": """WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest([1, 2]) AS clause FROM documents)
         SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN clause END AS clause, CASE WHEN doc_id % 4 > 0 THEN CASE clause WHEN 1 THEN 'Alpha' ELSE 'Beta- rule' END END AS title, CASE WHEN doc_id % 4 > 0 THEN trim(chr(64 + clause) || ' ' || x) END AS text,
             CASE WHEN doc_id % 4 = 0 THEN '1 clauses of 2 found' END AS problem FROM x WHERE doc_id % 4 > 0 OR clause = 1""",
-    "definition_units": """SELECT doc_id, unit, trim(chr((65 + unit)::INT) || ' ' || x) AS text FROM (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 80), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest(range(3)) AS unit FROM documents)""",
+    "definition_units": """SELECT doc_id, unit, trim(chr((65 + unit)::INT) || ' ' || x) AS text FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g')) AS x, unnest(range(3)) AS unit FROM documents)""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,17 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='kaivo-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, as tests and the benchmark use it; a cluster brings its own."""
     return reachable(

@@ -25,6 +25,41 @@ def test_mcnemar_matches_exact_binomials(spark):
         assert p == pytest.approx(want)
 
 
+def test_mcnemar_of_many_pairs(spark):
+    pairs = [(600, 600), (400, 700), (10_000, 9_900), (1, 2_000)]
+    got = [r.p for r in spark.createDataFrame([(k, *x) for k, x in enumerate(pairs)], "k int, a long, b long").select("k", S.mcnemar(F.col("a"), F.col("b")).alias("p")).orderBy("k").collect()]
+    for (a, b), p in zip(pairs, got, strict=True):
+        n = a + b
+        tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(a, b) + 1))
+        assert p == pytest.approx(min(1.0, 2 * tail), rel=1e-6)
+    assert got[0] == 1.0
+
+
+def test_labels_fold_case_and_need_no_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Bring Glass JARS here", "a"), (2, "ajars b glass jarsx", "a"), (3, "glass, jars", "b"), (4, None, "a")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "ring glass jar"), (2, "GLASS JARS"), (3, "jars"), (4, ""), (5, None), (6, "no such glass here")], "item_id long, question string")
+    found = {(r.item_id, r.doc_id) for r in index.required(index.of(docs), asked).collect()}
+    assert found == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)}
+
+
+def test_stored_index_is_the_plan(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    a, b = index.of(docs), index.store(docs, f"file://{tmp_path}/ix")
+    for part in ("counts", "words", "lengths"):
+        x, y = getattr(a, part), getattr(b, part)
+        y = y.select(*(F.col(f.name).cast(f.dataType) for f in x.schema))
+        assert x.exceptAll(y).count() == 0 == y.exceptAll(x).count()
+    with pytest.raises(ValueError):
+        rank.ranked(spark.range(1), (3,))
+
+
+def test_refusals_that_the_corpus_contradicts(spark):
+    found = spark.createDataFrame([(1, "a", "answerable"), (1, "b", "out-of-jurisdiction"), (2, "a", "out-of-corpus"), (2, "b", "out-of-corpus")], "item_id long, asked_in string, kind string")
+    said = lambda kind: {(r.item_id, r.asked_in): r.violation for r in evaluate.absence_violations(found, found.withColumn("kind", F.lit(kind))).collect()}
+    assert said("out-of-corpus") == {(1, "a"): "stands in its own jurisdiction", (1, "b"): "stands in another jurisdiction"}
+    assert said("out-of-jurisdiction") == {(1, "a"): "answerable where it was asked", (2, "a"): "answerable nowhere", (2, "b"): "answerable nowhere"}
+
+
 def test_wilson_of_published_proportions(spark):
     low, high = values(spark, *S.wilson(F.lit(12), F.lit(19)))
     assert (round(low, 2), round(high, 2)) == (0.41, 0.81)
@@ -60,7 +95,7 @@ def test_words_without_reading_or_with_names():
 
 def test_repairs_of_extracted_text(spark):
     made = values(spark, T.dehyphenated(F.lit("jäte-\n  huolto, öljy-\nja kaasu-\n\nx")), T.page_breaks(F.lit("a\n\fNew\n\fold\f")))
-    assert made[0] == "jätehuolto, öljy-\nja kaasu-\n\nx" and made[1] == "a\n\nNew\nold"
+    assert made[0] == "jätehuolto, öljy-\nja kaasu-\n\nx" and made[1] == "a\n\nNew\nold\f"
 
 
 def test_addresses_round_trip(spark):
@@ -81,13 +116,13 @@ def test_analysers_nest(spark):
 def test_jurisdiction_is_load_bearing(spark):
     docs = spark.createDataFrame([(1, "bins are emptied weekly", "a"), (2, "bins bins bins", "b")], "doc_id long, text string, lang string")
     ask = spark.createDataFrame([(7, "bins")], "item_id long, text string")
-    inside = rank.ranked(rank.scored(docs, ask, spark.createDataFrame([("a",)], "asked_in string"), ("base",)), (0,)).collect()
+    inside = rank.ranked(rank.scored(index.of(docs), ask, spark.createDataFrame([("a",)], "asked_in string"), ("base",)), (0,)).collect()
     assert [(r.doc_id, r.authority) for r in inside] == [(1, "a")]
-    assert rank.ranked(rank.scored(docs, ask, None, ("base",)), (0,)).first().doc_id == 2
+    assert rank.ranked(rank.scored(index.of(docs), ask, None, ("base",)), (0,)).first().doc_id == 2
 
 
 def test_phrase_needs_adjacent_words_in_order(spark):
-    chunk = spark.createDataFrame([(1, "x", "red car park"), (2, "x", "car red park"), (3, "x", "red big car")], "doc_id long, authority string, body string")
+    chunk = index.of(spark.createDataFrame([(1, "x", "red car park"), (2, "x", "car red park"), (3, "x", "red big car")], "doc_id long, lang string, text string"))
     p = spark.createDataFrame([(9, 0, "red"), (9, 1, "car"), (9, 1, "cars")], "phrase_id long, ord int, lexeme string")
     assert [r.doc_id for r in index.phrase_hits(chunk, p).collect()] == [1]
 
