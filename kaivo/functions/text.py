@@ -24,6 +24,15 @@ def kept(text: Column) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(*STOPWORDS))
 
 
+#: A URL, or letters and digits with hyphens between them, as one token.
+WHOLE = r"https?://[^\s]*[\p{L}\p{N}/]|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+
+
+def tokens(text: Column) -> Column:
+    """Tokens in order, as a lexicon sees them: URLs and words with hyphens stay whole, case stays."""
+    return F.regexp_extract_all(text, F.lit(WHOLE), F.lit(0))
+
+
 def stem(w: Column) -> Column:
     """A light stem: one common suffix less, if three characters stay."""
     short = F.regexp_replace(w, "(ing|tion|ment|ed|er|es|en|s)$", "")

@@ -89,3 +89,32 @@ def contexts(hits: DataFrame, chunk: DataFrame) -> DataFrame:
     x = hits.join(chunk.select("doc_id", "body"), "doc_id", "left").groupBy("item_id", "asked_in")
     x = x.agg(F.count("*").alias("n"), F.count(F.when(F.col("body").isNull(), 1)).alias("missing"), F.array_sort(F.collect_list(F.struct("position", "doc_id", "body"))).alias("b"))
     return x.select("item_id", "asked_in", "n", "missing", F.array_join(F.transform("b", lambda s: F.coalesce(s["body"], F.lit(""))), "\n\n").alias("context"))
+
+
+def resolve(asked: DataFrame, covers: DataFrame) -> DataFrame:
+    """``asked`` (place, and more) with status and authority, by what authorities cover (place, authority, part; part is null for all of a place).
+
+    blank, unknown, partial (only a part is covered, so nobody is answered from it), ambiguous (several authorities) or resolved, the
+    only one with an authority. Case doesn't count.
+    """
+    whole = F.col("part").isNull()
+    known = covers.groupBy(F.lower("place").alias("folded")).agg(F.countDistinct(F.when(whole, F.col("authority"))).alias("n"), F.min(F.when(whole, F.col("authority"))).alias("one"))
+    x = asked.join(known, F.lower(asked["place"]) == known["folded"], "left")
+    status = F.when(F.coalesce(asked["place"], F.lit("")).rlike(r"^\s*$"), "blank").when(F.col("n").isNull(), "unknown").when(F.col("n") == 0, "partial").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return x.select(*(asked[c] for c in asked.columns), status.alias("status"), F.when(status == "resolved", F.col("one")).alias("authority"))
+
+
+def manifest_problems(covers: DataFrame) -> DataFrame:
+    """place, problem of what authorities cover (place, authority, part): covered twice, or in whole and in part by one authority."""
+    whole = F.col("part").isNull()
+    per = covers.groupBy(F.lower("place").alias("place"), "authority").agg(F.count(F.when(whole, 1)).alias("w"), F.count(F.when(~whole, 1)).alias("p"))
+    n = per.groupBy("place").agg(F.count(F.when(F.col("w") > 0, 1)).alias("authorities"), F.max("w").alias("w"), F.max(((F.col("w") > 0) & (F.col("p") > 0)).cast("int")).alias("both"))
+    broken = F.array(F.when(F.col("authorities") > 1, "covered by several authorities"), F.when(F.col("w") > 1, "listed twice"), F.when(F.col("both") == 1, "covered in whole and in part"))
+    return n.select("place", F.explode(F.array_compact(broken)).alias("problem"))
+
+
+def edition_problems(declared: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, problem: a declared day (doc_id, day) must stand in the document's front (doc_id, text)."""
+    x = declared.join(structure.dates(rows), "doc_id", "left")
+    problem = F.when(F.col("day").isNull(), "no day declared").when(F.size(F.coalesce("dates", F.array().cast("array<date>"))) == 0, "no day in the document").when(~F.array_contains("dates", F.col("day")), "another day in the document")
+    return x.select("doc_id", problem.alias("problem")).where("problem is not null")

@@ -30,8 +30,8 @@ def verdicts(rows: DataFrame) -> DataFrame:
     p = rows.withColumn("v", F.from_json("raw", VERDICT, {"mode": "PERMISSIVE"}))
     flags = lambda key, names: F.exists(f"v.{key}", lambda x: reduce(or_, (x[n].isNull() for n in names)))
     problem = (
-        F.when(F.trim(F.coalesce("raw", F.lit(""))) == "", "empty")
-        .when(F.coalesce(~F.trim("raw").startswith("{"), F.lit(True)) | F.col("v").isNull(), "not an object")
+        F.when(F.coalesce("raw", F.lit("")).rlike(r"^\s*$"), "empty")
+        .when(~F.col("raw").rlike(r"^\s*\{") | F.col("v").isNull(), "not an object")
         .when(F.get_json_object("raw", "$.branches").isNull() | F.get_json_object("raw", "$.forbidden").isNull(), "missing key")
         .when(F.col("v.branches").isNull() | F.col("v.forbidden").isNull(), "wrong type")
         .when((F.size("v.branches") != F.col("n_branches")) | (F.size("v.forbidden") != F.col("n_forbidden")), "wrong count")

@@ -70,3 +70,40 @@ def replay_all(events: DataFrame, per_token: int = PER_TOKEN, hours: int = HOURS
 
     gate = passing.groupBy("month").applyInPandas(lambda key, pdf: next(run(key, iter([pdf]))), "user_id long, event_id long, decision string")
     return mine.where("decision <> 'accepted'").unionByName(gate)
+
+
+def gate(requests: DataFrame, issued: DataFrame, per_token: int = PER_TOKEN) -> DataFrame:
+    """token, seq, decision of requests (token, seq, ts, refund) in order of time, by tokens (token, expires_at, revoked_at).
+
+    In order of blame: unknown, revoked, expired, over_cap, accepted. A refund gives one query back, never below none, and is
+    ``refunded`` or ``nothing to refund``. What is left of a token depends on all that came before, so each token is one ordered pass;
+    it is read as a sorted stream with one counter, however many requests a token has, and only what the first three let pass gets there.
+    """
+    known = issued.select("token", "expires_at", "revoked_at").withColumn("there", F.lit(True))
+    x = requests.select("token", "seq", "ts", "refund").join(known, "token", "left")
+    asks = ~F.col("refund")
+    blame = F.when(F.col("there").isNull(), "unknown").when(asks & (F.col("revoked_at") <= F.col("ts")), "revoked").when(asks & (F.col("expires_at") <= F.col("ts")), "expired")
+    x = x.withColumn("decision", blame)
+    open_ = x.where("decision is null").select("token", "seq", "ts", "refund").repartition("token").sortWithinPartitions("token", "ts", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token, used = None, 0
+        for batch in batches:
+            out = []
+            for t, refund in zip(batch["token"], batch["refund"], strict=True):
+                if t != token:
+                    token, used = t, 0
+                if refund:
+                    out.append("refunded" if used else "nothing to refund")
+                    used = max(used - 1, 0)
+                else:
+                    out.append("accepted" if used < per_token else "over_cap")
+                    used = min(used + 1, per_token)
+            yield pd.DataFrame({"token": batch["token"], "seq": batch["seq"], "decision": out})
+
+    return x.where("decision is not null").select("token", "seq", "decision").unionByName(open_.mapInPandas(run, "token long, seq long, decision string"))
+
+
+def newest(issued: DataFrame, n: int) -> DataFrame:
+    """The n tokens (token, issued_at) issued last, newest first; ties by token."""
+    return issued.orderBy(F.desc("issued_at"), "token").limit(n)

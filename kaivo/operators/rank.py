@@ -23,15 +23,21 @@ def scored(ix: index.Index, benchmark: DataFrame, authorities: DataFrame | None,
     are left out before anything is counted. None: no jurisdiction at all (the negative control).
     """
     wanted = index.query_lexemes(index.questions(benchmark)).where(F.col("analyser").isin(*analysers))
+    return summed(ix.counts, wanted, index.lexicon(ix, wanted, analysers), ix.lengths.where(F.col("analyser").isin(*analysers)), authorities)
+
+
+def summed(counts: DataFrame, wanted: DataFrame, made: DataFrame, lengths: DataFrame, authorities: DataFrame | None) -> DataFrame:
+    """``scored`` from its parts: word counts, lexemes of questions (item_id, analyser, lexeme), words that yield them (word, analyser, lexeme), lengths."""
     sizes = wanted.groupBy("item_id", "analyser").agg(F.count("*").alias("n_query"))
     asked = index.small(wanted.join(sizes, ["item_id", "analyser"]))
     # postings are cut to the words that yield a lexeme of a question before they are grouped
-    counts = ix.counts if authorities is None else ix.counts.join(index.small(authorities), F.col("authority") == F.col("asked_in"), "left_semi")
-    tf = counts.join(index.small(index.lexicon(ix, wanted, analysers)), "word").groupBy("analyser", "authority", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
+    if authorities is not None:
+        counts = counts.join(index.small(authorities), F.col("authority") == F.col("asked_in"), "left_semi")
+    tf = counts.join(index.small(made), "word").groupBy("analyser", "authority", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
     sums = tf.withColumn("w", h2(F.col("tf"))).join(asked, ["analyser", "lexeme"]).groupBy("item_id", "analyser", "authority", "doc_id", "n_query").agg(F.sum("w").alias("w"))
     asked_in = F.lit(None).cast("string") if authorities is None else F.col("authority")
     sums = sums.select("item_id", "analyser", "authority", "doc_id", (0.1 * F.col("w") / ZETA2 / F.col("n_query")).alias("score"), asked_in.alias("asked_in"))
-    return sums.join(ix.lengths.where(F.col("analyser").isin(*analysers)), ["analyser", "doc_id"])
+    return sums.join(lengths, ["analyser", "doc_id"])
 
 
 def ranked(scores: DataFrame, norms: tuple[int, ...] = NORMS, k: int = K) -> DataFrame:

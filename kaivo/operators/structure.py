@@ -123,3 +123,14 @@ def dates(rows: DataFrame) -> DataFrame:
     """doc_id, dates: the distinct days written D.M.YYYY in a text (doc_id, text), in order."""
     found = F.regexp_extract_all("text", F.lit(r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b"), F.lit(1))
     return rows.select("doc_id", F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.try_to_timestamp(x, F.lit("d.M.yyyy")).cast("date")), lambda d: d.isNotNull()))).alias("dates"))
+
+
+def chunks(parts: DataFrame, definitions_clause: int = 2) -> DataFrame:
+    """doc_id, clause, sub, citation, text of ``split_clauses`` rows without a problem: a clause under its heading, and each definition by itself under its key."""
+    good = parts.where("problem is null")
+    heading = F.concat(F.col("clause").cast("string"), F.lit(" § "), "title")
+    plain = good.where(F.col("clause") != definitions_clause).select("doc_id", "clause", F.lit(None).cast("string").alias("sub"), heading.alias("citation"), F.trim(F.concat(heading, F.lit("\n"), "text")).alias("text"))
+    own = good.where(F.col("clause") == definitions_clause).select("doc_id", "clause", heading.alias("citation"), "text")
+    units = definitions(own)
+    keyed = units.join(unique_keys(units), ["doc_id", "unit"]).join(own.drop("text"), "doc_id")
+    return plain.unionByName(keyed.select("doc_id", "clause", F.col("key").alias("sub"), "citation", "text"))

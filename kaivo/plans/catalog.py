@@ -352,14 +352,18 @@ def quote_words_present(spark: SparkSession, d: str) -> DataFrame:
 @query
 def verdict_envelopes(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes made of conversation turns, some of them broken, through the parser: units by kind and problem."""
+    u = _judged_units(spark, d)
+    return u.groupBy("unit", "problem").agg(F.count("*").alias("units"), F.count(F.when(F.col("stated"), 1)).alias("stated"), F.count(F.when(F.col("supported"), 1)).alias("supported"), F.count(F.when(F.col("asserted"), 1)).alias("asserted"), F.coalesce(F.sum("incoherent"), F.lit(0)).cast("long").alias("incoherent"))
+
+
+def _judged_units(spark: SparkSession, d: str) -> DataFrame:
     t = _turns(spark, d)
     h = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(9))
     q = F.col("answer")
     good = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("index"), (h % 2 == 0).alias("stated"), (h % 3 == 0).alias("supported"), q.alias("quote"))).alias("branches"), F.array(F.struct(F.lit(1).alias("index"), (h == 4).alias("asserted"), F.col("question").alias("quote"))).alias("forbidden")))
     raw = F.when(h == 7, "").when(h == 8, "[1]").when(h == 5, '{"branches": []}').otherwise(good)
     rows = t.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), raw.alias("raw"), (h == 6).alias("refused"), "answer", F.lit(1).alias("n_branches"), F.lit(1).alias("n_forbidden"))
-    u = judged.verdicts(rows)
-    return u.groupBy("unit", "problem").agg(F.count("*").alias("units"), F.count(F.when(F.col("stated"), 1)).alias("stated"), F.count(F.when(F.col("supported"), 1)).alias("supported"), F.count(F.when(F.col("asserted"), 1)).alias("asserted"), F.coalesce(F.sum("incoherent"), F.lit(0)).cast("long").alias("incoherent"))
+    return judged.verdicts(rows)
 
 
 @query
@@ -575,8 +579,12 @@ def definition_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from kaivo.plans import recorded  # noqa: F401  its queries register themselves
+
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _found}
+    from kaivo.plans import recorded
+
+    return {k: v for k, v in (oracles.SQL | recorded.SQL).items() if k in _found}

@@ -222,3 +222,153 @@ def test_contracts(spark):
     hits = spark.createDataFrame([(1, "a", 2, 7), (1, "a", 1, 8), (1, "a", 3, 9)], "item_id long, asked_in string, position int, doc_id long")
     (one,) = contracts.contexts(hits, spark.createDataFrame([(7, "seven"), (8, "eight")], "doc_id long, body string")).collect()
     assert (one.n, one.missing, one.context) == (3, 1, "eight\n\nseven\n\n")
+
+
+def test_answer_envelopes_are_strict(spark):
+    from kaivo.operators import offline
+
+    raw = {
+        "ok": '{"refused": false, "answer": "x", "citations": ["a"], "more": 1}', "none": '{"refused": true, "answer": "", "citations": []}', "blank": " \n", "null": None, "text": "no", "list": "[]", "word": '"x"',
+        "less": '{"refused": false, "answer": "x"}', "said": '{"refused": "true", "answer": "x", "citations": []}', "number": '{"refused": true, "answer": 5, "citations": []}', "mixed": '{"refused": true, "answer": "x", "citations": ["a", 1]}',
+        "nulls": '{"refused": true, "answer": "x", "citations": [null]}', "hole": '{"refused": true, "answer": "x", "citations": ["a", null]}', "void": '{"refused": null, "answer": "x", "citations": []}', "one": '{"refused": true, "answer": "x", "citations": "a"}',
+    }
+    got = {r.qid: r for r in offline.envelopes(spark.createDataFrame(list(raw.items()), "qid string, raw string")).collect()}
+    assert (got["ok"].refused, got["ok"].answer, got["ok"].citations, got["ok"].problem) == (False, "x", ["a"], None)
+    assert (got["none"].refused, got["none"].citations) == (True, [])
+    assert {k: r.problem for k, r in got.items() if r.problem} == {
+        "blank": "empty", "null": "empty", "text": "not JSON", "list": "not an object", "word": "not an object", "less": "missing key",
+        **dict.fromkeys(("said", "number", "mixed", "nulls", "hole", "void", "one"), "wrong type"),
+    }
+    assert all(r.refused is None and r.answer is None and r.citations is None for r in got.values() if r.problem)
+
+
+def test_offline_scoring(spark):
+    from kaivo.operators import offline
+
+    asked = spark.createDataFrame([("r1", "refusal", "k", None), ("r2", "refusal", "k", None), ("a1", "answerable", None, ["x"]), ("a2", "answerable", None, ["x", "y"]), ("a3", "answerable", None, [])], "qid string, population string, kind string, required array<string>")
+    said = spark.createDataFrame([("r1", "refusal", False, []), ("r9", "refusal", True, []), ("a1", "answerable", True, ["x", "z"]), ("a2", "answerable", True, ["x"]), ("a9", "answerable", False, None)], "qid string, population string, refused boolean, retrieved array<string>")
+    out = offline.refusal_outcomes(asked, said)
+    got = {r.qid: (r.kind, r.complete, r.problem) for r in out.collect()}
+    assert got == {"r1": ("k", None, None), "r2": ("k", None, "not answered"), "r9": (None, None, "not asked"), "a1": (None, True, None), "a2": (None, False, None), "a9": (None, None, "unknown question")}
+    assert {tuple(r) for r in offline.refusal_offenders(out).collect()} == {("r1", "k", "answered"), ("a1", None, "refused with everything retrieved")}
+    assert [(r.refusals, r.correct) for r in offline.refusals_by_kind(out).collect()] == [(1, 0), (1, 0)]
+    human = spark.createDataFrame([("q", "branch", 1, True), ("q", "branch", 2, False), ("q", "forbidden", 1, None), ("p", "branch", 1, True)], "qid string, unit string, idx int, stated boolean")
+    verdicts = spark.createDataFrame([("q", "branch", 1, False, True, None), ("q", "branch", 2, True, True, None), ("q", "forbidden", 1, None, None, True), ("z", "branch", 1, True, True, None)], "qid string, unit string, idx int, stated boolean, supported boolean, asserted boolean")
+    assert {tuple(r) for r in offline.judge_labels(human, verdicts).collect()} == {("q", "branch", 1, "stated", False, None), ("q", "branch", 1, "supported", True, None), ("q", "branch", 2, "stated", True, None), ("q", "forbidden", 1, "asserted", True, None), ("p", "branch", 1, None, None, "no verdict")}
+    cases = spark.createDataFrame([("c1", "s"), ("c2", "s"), ("c3", "t")], "case_id string, shape string")
+    must = spark.createDataFrame([("c1", "branch", 1, "stated", True), ("c1", "branch", 2, "stated", False), ("c2", "branch", 1, "stated", True)], "case_id string, unit string, idx int, field string, expect boolean")
+    seen = spark.createDataFrame([("c1", "branch", 1, "stated", True), ("c1", "branch", 2, "stated", False)], "case_id string, unit string, idx int, field string, value boolean")
+    assert sorted(map(tuple, offline.control_outcomes(cases, must, seen).collect())) == [("c1", "s", True, 0), ("c2", "s", False, 1), ("c3", "t", False, 0)]
+    with pytest.raises(ValueError):
+        offline.limited(cases, 0, "case_id")
+    assert [r.partial for r in offline.limited(cases, 3, "case_id").collect()] == [False] * 3
+    none = spark.createDataFrame([], out.schema)
+    assert offline.refusals_by_kind(none).count() == offline.refusal_offenders(none).count() == 0
+
+
+def test_gate_against_a_plain_loop(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5]), k, start + timedelta(minutes=rng.randrange(4000)), rng.random() < 0.3) for k in range(3000)]
+    day = lambda n: start + timedelta(days=n)
+    issued = {1: (day(9), None), 2: (day(1), None), 3: (day(9), day(2)), 4: (day(1), day(1))}
+    want, used = {}, {}
+    for token, seq, ts, refund in sorted(rows, key=lambda r: (r[2], r[1])):
+        n = used.get(token, 0)
+        expires, revoked = issued.get(token, (None, None))
+        if token not in issued:
+            want[seq] = "unknown"
+        elif refund:
+            want[seq] = "refunded" if n else "nothing to refund"
+            used[token] = max(n - 1, 0)
+        elif revoked and ts >= revoked:
+            want[seq] = "revoked"
+        elif ts >= expires:
+            want[seq] = "expired"
+        else:
+            want[seq] = "accepted" if n < 10 else "over_cap"
+            used[token] = min(n + 1, 10)
+    requests = spark.createDataFrame(rows, "token long, seq long, ts timestamp, refund boolean")
+    tokens = spark.createDataFrame([(t, *x) for t, x in issued.items()], "token long, expires_at timestamp, revoked_at timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert {r.seq: r.decision for r in ledger.gate(requests, tokens).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ledger.gate(requests.limit(0), tokens).count() == 0
+
+
+def test_hand_written_files(spark, tmp_path):
+    from kaivo.operators import contracts, offline
+    from kaivo.operators.evaluate import Violation
+
+    (tmp_path / "m.yaml").write_text("version: 1\nauthorities:\n- {key: a, name: A, places: [Turku, Raisio], partial: [{place: Salo, part: north}]}\n- {key: b, name: B, places: [Tampere]}\n")
+    covers = records.read_manifest(spark, str(tmp_path / "m.yaml"))
+    asked = spark.createDataFrame([("TURKU",), ("Salo",), ("Oulu",), (" ",), (None,)], "place string")
+    assert {(r.place, r.status, r.authority) for r in contracts.resolve(asked, covers).collect()} == {("TURKU", "resolved", "a"), ("Salo", "partial", None), ("Oulu", "unknown", None), (" ", "blank", None), (None, "blank", None)}
+    (tmp_path / "bad.yaml").write_text("version: 1\nauthorities:\n- {key: a, name: A, places: [Turku]}\n- {key: b, name: B, places: [turku]}\n")
+    with pytest.raises(Violation):
+        records.read_manifest(spark, str(tmp_path / "bad.yaml"))
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "1.json").write_text('{"version": 1, "questions": [{"id": "q1", "question": "x?", "population": "answerable", "authority": "a", "required": ["a@1"], "branches": ["u", "v"]}]}')
+    (tmp_path / "q" / "2.yml").write_text("version: 1\nquestions:\n- {id: q2, question: y, population: refusal, authority: b, kind: out-of-corpus}\n")
+    questions = records.read_questions(spark, str(tmp_path / "q"))
+    assert [(r.qid, r.required, r.n_branches, r.kind) for r in questions.orderBy("qid").collect()] == [("q1", ["a@1"], 2, None), ("q2", [], 0, "out-of-corpus")]
+    (tmp_path / "c.json").write_text('{"version": 1, "cases": [{"id": "c1", "question_id": "q1", "shape": "s", "answer": "y", "must_catch": [{"unit": "branch", "index": 3, "field": "stated", "expect": true}]}]}')
+    cases, must = records.read_control(spark, str(tmp_path / "c.json"))
+    assert {tuple(r) for r in offline.control_problems(cases, must, questions, ("s", "t")).collect()} == {("c1", "no such unit"), (None, "shape t not covered in a"), (None, "fewer than two jurisdictions")}
+    (tmp_path / "old.json").write_text('{"version": 2}')
+    for reader in (records.read_manifest, records.read_questions, records.read_control):
+        with pytest.raises(Violation):
+            reader(spark, str(tmp_path / "old.json"))
+
+
+def test_files_of_runs(spark, tmp_path):
+    import hashlib
+
+    files = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
+    pins = [("a", hashlib.sha256(b"1").hexdigest()), ("b", "0"), ("c", "1")]
+    assert sorted(r.path for r in records.pinned(files, spark.createDataFrame(pins, "path string, sha256 string")).collect()) == ["b", "c"]
+    (tmp_path / "labels.json").write_text('{"version": 1, "sample": "s", "labels": [{"question_id": "q", "unit": "branch", "index": 1, "stated": false, "supported": true}, {"question_id": "q", "unit": "forbidden", "index": 1, "asserted": true}]}')
+    assert {tuple(r) for r in records.read_labels(spark, str(tmp_path / "labels.json")).collect()} == {("q", "branch", 1, "stated", False), ("q", "forbidden", 1, "asserted", True)}
+    nested = spark.createDataFrame([("q", ["a", "b"], None)], "question_id string, retrieved array<string>, text string")
+    records.write_answers(nested, str(tmp_path / "run"), cell="stem/0", k=5)
+    (back,) = spark.read.json(str(tmp_path / "run")).collect()
+    assert (back.cell, back.k, back.question_id, back.retrieved, back.text) == ("stem/0", 5, "q", ["a", "b"], None)
+    spark.createDataFrame([("stem", 0, 0.5)], "analyser string, norm int, mrr double").write.json(str(tmp_path / "base"))
+    assert [(r.analyser, r.mrr, r.leakage) for r in records.read_baseline(spark, str(tmp_path / "base")).collect()] == [("stem", 0.5, None)]
+    assert records.provenance(str(tmp_path)) == ""
+
+
+def test_lexicon(spark):
+    from kaivo.operators import lexicon
+    from kaivo.operators.evaluate import Violation
+
+    known = spark.createDataFrame([("biojätteet", "biojäte", "+bio(bio)+jätteet(jäte)"), ("kuusi", "kuusi", None), ("kuusi", "Kuusi", None), ("kuusi", "kuu", "+kuusi(kuu)")], "word string, baseform string, bases string")
+    words = spark.createDataFrame([("biojätteet",), ("kuusi",), ("xyz",), ("xyz",)], "word string")
+    got = {}
+    for r in lexicon.lexemes(words, known).collect():
+        got.setdefault((r.word, r.analyser), []).append(r.lexeme)
+    assert {k: sorted(v) for k, v in got.items() if k[1] != "reasm"} == {("biojätteet", "base"): ["biojäte"], ("biojätteet", "safe"): ["bio", "biojäte", "jäte"], ("kuusi", "base"): ["kuu", "kuusi"], ("kuusi", "safe"): ["kuu", "kuusi"], ("xyz", "base"): ["xyz"], ("xyz", "safe"): ["xyz"]}
+    assert [r.word for r in lexicon.gaps(words, known).collect()] == ["xyz"]
+    with pytest.raises(Violation):
+        lexicon.assert_present(words, known.limit(0))
+    docs = spark.createDataFrame([(1, "Kuusi biojäte", "a"), (2, "biojäte kuu", "a")], "doc_id long, text string, lang string")
+    needles = spark.createDataFrame([(7, "KUUSI biojätteet"), (8, None)], "item_id long, text string")
+    lemmas = lexicon.needle_lemmas(needles, known).withColumnRenamed("item_id", "phrase_id")
+    assert [(r.phrase_id, r.doc_id) for r in index.phrase_hits(index.of(docs), lemmas).collect()] == [(7, 1)]
+    tokens = T.tokens(F.lit("See 840-1, https://x.fi/a?b=1. Bio-waste - and"))
+    assert values(spark, tokens)[0] == ["See", "840-1", "https://x.fi/a?b=1", "Bio-waste", "and"]
+
+
+def test_one_question(spark, capsys):
+    from kaivo import cli
+
+    docs = spark.createDataFrame([(1, "glass jars", "a"), (2, "glass", "b"), (3, None, "a")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in rank.ask(docs, "glass", "a").collect()] == [1]
+    for blank in ((" ", "a"), ("glass", "")):
+        with pytest.raises(ValueError):
+            rank.ask(docs, *blank)
+    assert cli.main(["queries"]) == 0 and "token_gate" in capsys.readouterr().out
