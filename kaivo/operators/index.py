@@ -69,24 +69,30 @@ class Index:
     """The inverted index of a corpus: what every ranking and evaluation reads instead of the texts.
 
     counts: word, authority, doc_id, n (of kept words: one posting table for all analysers, as a lexeme is the sum of its words);
-    words: the distinct ones; lengths: analyser, doc_id, length; chunks: the passages themselves.
+    words: the distinct ones; forms: word, analyser, lexeme of each; lengths: analyser, doc_id, length; chunks: the passages themselves.
     """
 
     counts: DataFrame
     words: DataFrame
+    forms: DataFrame
     lengths: DataFrame
     chunks: DataFrame
 
 
+def _forms(words: DataFrame) -> DataFrame:
+    return words.select("word", F.explode(T.lexemes(F.col("word"))).alias("x")).where("x.lexeme is not null").select("word", "x.analyser", "x.lexeme")
+
+
 def of(documents: DataFrame) -> Index:
     """The index as a plan: for one question, or to be stored."""
     chunk = passages(documents)
     counts = word_counts(chunk).select("word", "authority", "doc_id", "n")
-    return Index(counts, counts.select("word").distinct(), lengths(chunk), chunk)
+    words = counts.select("word").distinct()
+    return Index(counts, words, _forms(words), lengths(chunk), chunk)
 
 
 def load(spark: SparkSession, folder: str, documents: DataFrame) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{part}") for part in ("counts", "words", "lengths")), passages(documents))
+    return Index(*(spark.read.parquet(f"{folder}/{part}") for part in ("counts", "words", "forms", "lengths")), passages(documents))
 
 
 def store(documents: DataFrame, folder: str) -> Index:
@@ -96,22 +102,26 @@ def store(documents: DataFrame, folder: str) -> Index:
     word_counts(chunk).select("word", "authority", "doc_id", "n").repartitionByRange("word").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
     counts.select("word").distinct().write.mode("overwrite").parquet(f"{folder}/words")
+    _forms(spark.read.parquet(f"{folder}/words")).write.mode("overwrite").parquet(f"{folder}/forms")
     without = chunk.select("authority", "doc_id", F.lit("").alias("word"), F.lit(0).cast("long").alias("n"))
     _by_analyser(counts.select("authority", "doc_id", "word", "n").unionByName(without), T.ANALYSERS).write.mode("overwrite").parquet(f"{folder}/lengths")
     return load(spark, folder, documents)
 
 
-#: A table is broadcast up to so many rows, counted first; beyond that Spark joins it by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast up to so many rows and bytes of strings, measured first; beyond that Spark joins it by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = sum(strings, F.lit(0).cast("long"))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def lexicon(ix: Index, wanted: DataFrame, analysers: tuple[str, ...] = T.ANALYSERS) -> DataFrame:
     """word, analyser, lexeme of the corpus' words that yield a wanted lexeme (analyser, lexeme)."""
-    made = ix.words.select("word", F.explode(T.lexemes(F.col("word"), analysers)).alias("x")).where("x.lexeme is not null").select("word", "x.analyser", "x.lexeme")
+    made = ix.forms.where(F.col("analyser").isin(*analysers))
     return made.join(wanted, ["analyser", "lexeme"], "left_semi")
 
 

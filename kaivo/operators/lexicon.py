@@ -72,4 +72,4 @@ def hits(ix: index.Index, benchmark: DataFrame, lexicon: DataFrame, norms: tuple
     table = lexemes(ix.words.unionByName(asked.select("word")), lexicon)
     wanted = asked.join(table, "word").select("item_id", "analyser", "lexeme").distinct()
     made = table.join(wanted, ["analyser", "lexeme"], "left_semi")
-    return rank.ranked(rank.summed(ix.counts, wanted, made, positions(ix, table), rank.authorities(ix)), norms, k)
+    return rank.ranked(rank.summed(ix.counts, wanted, made, positions(ix, table), rank.authorities(ix), ANALYSERS), norms, k)

@@ -6,7 +6,7 @@ before they order anything and ties fall to the smaller doc_id, so that the orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kaivo.functions.stats import ZETA2, h2, length_divisor
@@ -14,6 +14,7 @@ from kaivo.operators import index
 
 K = 5
 NORMS = (0, 1, 2)
+POINTS = 1e9
 
 
 def scored(ix: index.Index, benchmark: DataFrame, authorities: DataFrame | None, analysers: tuple[str, ...]) -> DataFrame:
@@ -23,21 +24,30 @@ def scored(ix: index.Index, benchmark: DataFrame, authorities: DataFrame | None,
     are left out before anything is counted. None: no jurisdiction at all (the negative control).
     """
     wanted = index.query_lexemes(index.questions(benchmark)).where(F.col("analyser").isin(*analysers))
-    return summed(ix.counts, wanted, index.lexicon(ix, wanted, analysers), ix.lengths.where(F.col("analyser").isin(*analysers)), authorities)
+    return summed(ix.counts, wanted, index.lexicon(ix, wanted, analysers), ix.lengths, authorities, analysers)
 
 
-def summed(counts: DataFrame, wanted: DataFrame, made: DataFrame, lengths: DataFrame, authorities: DataFrame | None) -> DataFrame:
-    """``scored`` from its parts: word counts, lexemes of questions (item_id, analyser, lexeme), words that yield them (word, analyser, lexeme), lengths."""
-    sizes = wanted.groupBy("item_id", "analyser").agg(F.count("*").alias("n_query"))
-    asked = index.small(wanted.join(sizes, ["item_id", "analyser"]))
-    # postings are cut to the words that yield a lexeme of a question before they are grouped
+def _wide(rows: DataFrame, key: str, value: Column, analysers: tuple[str, ...], prefix: str) -> DataFrame:
+    """One row a key, with a column for each analyser."""
+    return rows.groupBy(key).agg(*(F.sum(F.when(F.col("analyser") == a, value)).alias(f"{prefix}_{a}") for a in analysers))
+
+
+def summed(counts: DataFrame, wanted: DataFrame, made: DataFrame, lengths: DataFrame, authorities: DataFrame | None, analysers: tuple[str, ...]) -> DataFrame:
+    """``scored`` from its parts: word counts, lexemes of questions (item_id, analyser, lexeme), words that yield them (word, analyser, lexeme), lengths.
+
+    Postings are cut to what the questions ask and dealt by passage once; all that follows stays there, so that scores aren't shuffled.
+    Analysers stand side by side in columns until their sums are made.
+    """
     if authorities is not None:
         counts = counts.join(index.small(authorities), F.col("authority") == F.col("asked_in"), "left_semi")
-    tf = counts.join(index.small(made), "word").groupBy("analyser", "authority", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
-    sums = tf.withColumn("w", h2(F.col("tf"))).join(asked, ["analyser", "lexeme"]).groupBy("item_id", "analyser", "authority", "doc_id", "n_query").agg(F.sum("w").alias("w"))
+    near = counts.join(index.small(made), "word").select("doc_id", "authority", "analyser", "lexeme", "n").repartition("doc_id")
+    tf = near.groupBy("doc_id", "authority", "analyser", "lexeme").agg(F.sum("n").alias("tf"))
+    met = tf.withColumn("w", h2(F.col("tf"))).join(index.small(wanted), ["analyser", "lexeme"])
+    sums = met.groupBy("item_id", "doc_id", "authority").agg(*(F.sum(F.when(F.col("analyser") == a, F.col("w"))).alias(f"w_{a}") for a in analysers))
+    sums = sums.join(_wide(lengths, "doc_id", F.col("length"), analysers, "length"), "doc_id").join(index.small(_wide(wanted, "item_id", F.lit(1), analysers, "n")), "item_id")
+    cells = F.array(*(F.struct(F.lit(a).alias("analyser"), (0.1 * F.col(f"w_{a}") / ZETA2 / F.col(f"n_{a}")).alias("score"), F.col(f"length_{a}").alias("length")) for a in analysers))
     asked_in = F.lit(None).cast("string") if authorities is None else F.col("authority")
-    sums = sums.select("item_id", "analyser", "authority", "doc_id", (0.1 * F.col("w") / ZETA2 / F.col("n_query")).alias("score"), asked_in.alias("asked_in"))
-    return sums.join(lengths, ["analyser", "doc_id"])
+    return sums.select("item_id", asked_in.alias("asked_in"), "doc_id", "authority", F.explode(cells).alias("x")).where("x.score is not null").select("item_id", "asked_in", "x.analyser", "doc_id", "authority", "x.score", "x.length")
 
 
 def ranked(scores: DataFrame, norms: tuple[int, ...] = NORMS, k: int = K) -> DataFrame:
@@ -47,9 +57,13 @@ def ranked(scores: DataFrame, norms: tuple[int, ...] = NORMS, k: int = K) -> Dat
     if not set(norms) <= set(NORMS):
         raise ValueError(f"unknown normalisation among {norms}")
     cells = scores.withColumn("norm", F.explode(F.array(*(F.lit(n) for n in norms))))
-    cells = cells.withColumn("rank", F.round(F.col("score") / length_divisor(F.col("norm"), F.col("length")), 9))
-    order = Window.partitionBy("item_id", "asked_in", "analyser", "norm").orderBy(F.desc("rank"), F.asc("doc_id"))
-    return cells.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("item_id", "asked_in", "analyser", "norm", "position", "doc_id", "authority", F.round("rank", 6).alias("rank"))
+    # rounded to whole billionths: order is that of a long, and no decimal is made for the rows that don't stay
+    cells = cells.withColumn("points", F.floor(F.col("score") / length_divisor(F.col("norm"), F.col("length")) * POINTS + 0.5))
+    # a number leads the sort key, so that rows of different lists are told apart without comparing strings
+    keys = ("item_id", "asked_in", "analyser", "norm")
+    order = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(F.desc("points"), F.asc("doc_id"))
+    best = cells.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return best.select(*keys, "position", "doc_id", "authority", F.round(F.col("points") / POINTS, 6).alias("rank"))
 
 
 def authorities(ix: index.Index) -> DataFrame:

@@ -45,7 +45,7 @@ def test_labels_fold_case_and_need_no_whole_words(spark):
 def test_stored_index_is_the_plan(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     a, b = index.of(docs), index.store(docs, f"file://{tmp_path}/ix")
-    for part in ("counts", "words", "lengths"):
+    for part in ("counts", "words", "forms", "lengths"):
         x, y = getattr(a, part), getattr(b, part)
         y = y.select(*(F.col(f.name).cast(f.dataType) for f in x.schema))
         assert x.exceptAll(y).count() == 0 == y.exceptAll(x).count()
