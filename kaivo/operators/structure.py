@@ -119,6 +119,13 @@ def unique_keys(units: DataFrame) -> DataFrame:
     return tried.groupBy("doc_id", "unit").agg(F.min(F.when((F.col("same") == 1) & (F.col("slug") != ""), F.struct("n", "slug")))["slug"].alias("key"))
 
 
+def key_problems(keys: DataFrame) -> DataFrame:
+    """doc_id, unit, problem of ``unique_keys`` rows: units without a key, and units whose keys are equal though made of different numbers of words."""
+    same = F.count("*").over(Window.partitionBy("doc_id", "key"))
+    problem = F.when(F.col("key").isNull(), "no key tells it apart").when(same > 1, "key of another unit too")
+    return keys.select("doc_id", "unit", problem.alias("problem")).where("problem is not null")
+
+
 def dates(rows: DataFrame) -> DataFrame:
     """doc_id, dates: the distinct days written D.M.YYYY in a text (doc_id, text), in order."""
     found = F.regexp_extract_all("text", F.lit(r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b"), F.lit(1))

@@ -164,6 +164,9 @@ def test_structure_of_a_document(spark):
     assert [(r.clause, r.title) for r in c] == [(1, "Terms"), (2, "Scope and aims")] and "2 § below" in c[0].text and c[1].text == "All of it."
     units = structure.definitions(spark.createDataFrame([(1, c[0].text)], "doc_id long, text string"))
     assert sorted(r.key for r in structure.unique_keys(units).collect()) == ["bin-bag", "bin-means"]
+    assert structure.key_problems(structure.unique_keys(units)).count() == 0
+    alike = spark.createDataFrame([(1, 0, "bin-bag x"), (1, 1, "bin bag"), (1, 2, "bin box"), (1, 3, "lid"), (1, 4, "lid"), (2, 0, "lid")], "doc_id long, unit int, text string")
+    assert {(r.doc_id, r.unit): r.problem for r in structure.key_problems(structure.unique_keys(alike)).collect()} == {(1, 3): "no key tells it apart", (1, 4): "no key tells it apart", (1, 0): "key of another unit too", (1, 1): "key of another unit too"}
     with pytest.raises(structure.Unreadable):
         structure.contents("1 § A .... 1\n3 § B .... 2")
 
