@@ -375,3 +375,14 @@ def test_one_question(spark, capsys):
         with pytest.raises(ValueError):
             rank.ask(docs, *blank)
     assert cli.main(["queries"]) == 0 and "token_gate" in capsys.readouterr().out
+
+
+def test_share_of_a_long_quote_takes_time_in_proportion(spark):
+    import time
+
+    own = " ".join(f"w{i}" for i in range(20_000)) + " w1 w1"
+    rows = spark.createDataFrame([(0, own, own.replace("w0 ", "").removesuffix(" w1")), (1, "a a b", "A c a a"), (2, "", None), (3, "a", None), (4, None, "a")], "k int, q string, a string")
+    began = time.perf_counter()
+    got = {r.k: r.x for r in rows.select("k", judged.quote_share(F.col("q"), F.col("a")).alias("x")).collect()}
+    assert time.perf_counter() - began < 30  # each word was looked for in all others, and the texts were split again for each
+    assert got == {0: 20_000 / 20_002, 1: 2 / 3, 2: 1.0, 3: None, 4: None}
