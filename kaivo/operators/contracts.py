@@ -86,7 +86,8 @@ def publishable(agreed: DataFrame, floor: float = AGREEMENT) -> DataFrame:
 
 def contexts(hits: DataFrame, chunk: DataFrame) -> DataFrame:
     """item_id, asked_in, n, missing, context: bodies of a question's hits (position, doc_id) in the order of their ranks, a blank line between."""
-    x = hits.join(chunk.select("doc_id", "body"), "doc_id", "left").groupBy("item_id", "asked_in")
+    near = chunk.select("doc_id", "body").join(index.small(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # other bodies stay where they are read
+    x = hits.join(near, "doc_id", "left").groupBy("item_id", "asked_in")
     x = x.agg(F.count("*").alias("n"), F.count(F.when(F.col("body").isNull(), 1)).alias("missing"), F.array_sort(F.collect_list(F.struct("position", "doc_id", "body"))).alias("b"))
     return x.select("item_id", "asked_in", "n", "missing", F.array_join(F.transform("b", lambda s: F.coalesce(s["body"], F.lit(""))), "\n\n").alias("context"))
 
