@@ -386,3 +386,99 @@ def test_share_of_a_long_quote_takes_time_in_proportion(spark):
     got = {r.k: r.x for r in rows.select("k", judged.quote_share(F.col("q"), F.col("a")).alias("x")).collect()}
     assert time.perf_counter() - began < 30  # each word was looked for in all others, and the texts were split again for each
     assert got == {0: 20_000 / 20_002, 1: 2 / 3, 2: 1.0, 3: None, 4: None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = [(1, "Bins bins bin containers", "a"), (2, "glass jars, glassy jar", "a"), (2, "glass containers", "b"), (3, None, "a"), (4, "the of and", "a"), (5, "glass jars", None), (6, "glass jars", "a"), (7, "glass jars", "a"), (8, "bins " * 300, "b"), (9, "abcdefabcdef ñandúñandúx 12345 mments", "b"), (6, "more glass", "a")]
+
+
+def _odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame([(1, "glass jars"), (2, "bins containers"), (3, "the of"), (4, "abcdefghij ñandúñandúy mment"), (5, None)], "item_id long, text string")
+
+
+def test_entries_hold_the_corpus_without_a_shuffle_of_words(spark):
+    docs, _ = _odd(spark)
+    ix, chunk = index.of(docs), index.passages(docs)
+    same = lambda x, y: x.exceptAll(y).count() == 0 == y.exceptAll(x).count()
+    assert same(ix.counts, index.word_counts(chunk).select("word", "authority", "doc_id", "n"))
+    assert same(ix.lengths, index.lengths(chunk).select("analyser", "doc_id", "length"))
+    tf = index.frequencies(index.word_counts(chunk)).groupBy("analyser", "doc_id", "lexeme").agg(F.sum("n").alias("tf"))
+    assert same(index.totals(ix), tf.groupBy("analyser").agg(F.count("*").alias("postings"), F.sum("tf").alias("positions")))
+    once = index.of(docs.where("doc_id not in (2, 6)"))
+    assert "Exchange hash" not in _plan(once.entries) and "Exchange range" not in _plan(once.counts)
+
+
+def test_best_passages_are_those_of_the_joins(spark):
+    docs, asked = _odd(spark)
+    ix = index.of(docs)
+    for where in (rank.authorities(ix), None):
+        for k in (1, 2, 5):
+            x = rank.best(ix, asked, where, T.ANALYSERS, k=k)
+            y = rank.ranked(rank.scored(ix, asked, where, T.ANALYSERS), k=k)
+            assert x.exceptAll(y).count() == 0 == y.exceptAll(x).count() and x.count() > 0
+    alone = docs.where("doc_id not in (2, 6)")
+    # tasks keep the best of what they read: joins of postings, and sums of scores, are gone
+    assert "Join" not in _plan(rank.best(index.of(alone), asked, None, (T.CONTROL,), (0,)))
+
+
+def test_best_passages_of_slices_and_flushes(spark, monkeypatch):
+    from kaivo.operators import postings
+
+    docs, asked = _odd(spark)
+    ix = index.of(docs)
+    want = postings.wanted([tuple(r) for r in index.query_lexemes(index.questions(asked)).collect()], T.ANALYSERS)
+    rows = ix.entries.where("authority is not null").drop("block", "shared").toArrow().to_batches()
+
+    def found(whole):
+        x = [r for b in postings.best(want, T.ANALYSERS, rank.NORMS, 2, whole)(iter(rows)) for r in b.to_pylist()]
+        by = lambda r: (r["item_id"], r["analyser"], r["norm"], None if whole else r["authority"])
+        x.sort(key=lambda r: (str(by(r)), -r["points"], r["doc_id"]))
+        return [r for i, r in enumerate(x) if i < 2 or by(x[i - 2]) != by(r)]
+
+    wide = [found(w) for w in (False, True)]
+    monkeypatch.setattr(postings, "SLICE_CELLS", 5)
+    monkeypatch.setattr(postings, "SLICE_WORDS", 2)
+    monkeypatch.setattr(postings, "HELD_ROWS", 3)
+    assert [found(w) for w in (False, True)] == wide
+
+
+def test_phrases_and_texts_stay_where_they_are_read(spark):
+    docs, asked = _odd(spark)
+    ix = index.of(docs)
+    p = asked.select(F.col("item_id").alias("phrase_id"), F.posexplode(T.kept(F.col("text"))).alias("ord", "lexeme"))
+    x = index.phrases_held(ix, asked.select(F.col("item_id").alias("phrase_id"), "text"))
+    y = index.phrase_hits(ix, p)
+    assert {tuple(r) for r in x.collect()} == {tuple(r) for r in y.collect()} and x.count() >= 4
+    wide = index.required(ix, index.questions(asked))
+    for df in (x, wide):
+        assert "SortMergeJoin" not in _plan(df) and "ShuffledHashJoin" not in _plan(df)
+
+
+def test_more_needles_than_can_be_broadcast(spark, monkeypatch):
+    docs, asked = _odd(spark)
+    ix = index.of(docs)
+    both = lambda: [sorted(map(str, x.collect())) for x in (index.required(ix, index.questions(asked)), index.phrases_held(ix, asked.select(F.col("item_id").alias("phrase_id"), "text")))]
+    few = both()
+    monkeypatch.setattr(index, "FIXED_ROWS", 0)
+    assert both() == few
+
+
+def test_contexts_join_only_bodies_of_hits(spark):
+    from kaivo.operators import contracts
+
+    chunk = index.passages(_odd(spark)[0].where("doc_id <> 2"))
+    hits = spark.createDataFrame([(1, "a", 1, 7), (1, "a", 2, 99)], "item_id long, asked_in string, position int, doc_id long")
+    x = contracts.contexts(hits, chunk)
+    assert [(r.n, r.missing, r.context) for r in x.collect()] == [(2, 1, "glass jars\n\n")]
+    assert "LeftSemi" in _plan(x)
+
+
+def test_pairs_of_cells_need_one_pass(spark):
+    rows = spark.createDataFrame([(1, "x", "stem", 0, 1, 1), (1, "x", "stem", 1, 1, 0), (2, "x", "stem", 0, 2, 2), (2, "x", "stem", 1, 2, 2), (None, "x", "stem", 0, 1, 1)], "item_id long, asked_in string, analyser string, norm int, n_required long, n_found long")
+    x = evaluate.discordance(rows)
+    assert [(r.cell_a, r.cell_b, r.a_only, r.b_only, r.p) for r in x.collect()] == [("stem/0", "stem/1", 1, 0, 1.0)]
+    assert "Join" not in _plan(x)
+
