@@ -255,14 +255,14 @@ def probe_table(spark: SparkSession, d: str) -> DataFrame:
 @query
 def lemma_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Index positions of each passage under the lemma analysers."""
-    ix = catalog._index(spark, d)
-    return lexicon.positions(ix, lexicon.lexemes(ix.words, _lexicon(ix.words)))
+    ix = catalog._with_words(spark, d)
+    return lexicon.positions(ix, _lexicon(ix.words))
 
 
 @query
 def lemma_topk(spark: SparkSession, d: str) -> DataFrame:
     """The grid over the lemma analysers."""
-    ix = catalog._index(spark, d)
+    ix = catalog._with_words(spark, d)
     return lexicon.hits(ix, table(spark, d, "benchmark"), _lexicon(ix.words.unionByName(_asked_words(spark, d))))
 
 

@@ -482,3 +482,25 @@ def test_pairs_of_cells_need_one_pass(spark):
     assert [(r.cell_a, r.cell_b, r.a_only, r.b_only, r.p) for r in x.collect()] == [("stem/0", "stem/1", 1, 0, 1.0)]
     assert "Join" not in _plan(x)
 
+
+def test_lemmas_are_looked_up_by_block(spark, tmp_path):
+    from kaivo.operators import lexicon
+    from kaivo.plans.recorded import _lexicon
+
+    docs, asked = _odd(spark)
+    words = index.of(docs).words.unionByName(asked.select(F.explode(T.words(F.col("text"))).alias("word")))
+    known = _lexicon(words)
+    for rows in (docs, docs.where("doc_id not in (2, 6)")):
+        ix = index.store(rows, f"file://{tmp_path}/{rows.count()}")
+        table = lexicon.lexemes(ix.words, known)
+        n = table.groupBy("word", "analyser").agg(F.count("*").alias("k"))
+        joined = ix.counts.join(n, "word").groupBy("analyser", "doc_id").agg(F.sum(F.col("n") * F.col("k")).alias("length"))
+        mine = lexicon.positions(ix, known)
+        assert mine.exceptAll(joined).count() == 0 == joined.exceptAll(mine).count()
+        items = asked.select("item_id", F.explode(T.kept(F.col("text"))).alias("word")).distinct()
+        wanted = items.join(lexicon.lexemes(items, known), "word").select("item_id", "analyser", "lexeme").distinct()
+        y = rank.ranked(rank.summed(ix.counts, wanted, table.join(wanted, ["analyser", "lexeme"], "left_semi"), joined, rank.authorities(ix), lexicon.ANALYSERS), k=2)
+        x = lexicon.hits(ix, asked, known, k=2)
+        assert x.exceptAll(y).count() == 0 == y.exceptAll(x).count() and x.count() > 9
+    assert "hashpartitioning(block" in _plan(x)  # blocks go behind their dictionaries, postings to no table of words
+
