@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kaivo.llm.graph import components
-from kaivo.llm.scratch import bounded, small, written
+from kaivo.llm.scratch import bounded, gathered, small, written
 from kaivo.llm.texts import mixed, slices
 
 WORDS, THRESHOLD = 5, 0.8
@@ -299,7 +299,8 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, recall: f
     sig = written(signatures(docs, words, trees, need), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first"), F.count("*").alias("m"), F.first("labels").alias("labels"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "n", "m", "first", "labels"), "classes")
+    # gathered before they get ids: a repeated task gives rows other ids
+    classes = written(gathered(classes).select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "n", "m", "first", "labels"), "classes", gather=False)
 
     # the forest: each trie's signatures in order, nodes from neighbours' common prefixes
     steps = F.element_at(F.array(*(F.lit(int(x)) for x in need)), (F.least("n", F.lit(MANY)) + 1).cast("int"))
@@ -325,7 +326,7 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, recall: f
         )""")
     # one row a class: its nodes, no more than there are tries
     placed = placed.select("rep", "m", "first", F.struct("tree", "node", pairs.alias("pairs")).alias("one"))
-    placed = written(placed.groupBy("rep").agg(F.first("m").alias("m"), F.first("first.doc_id").alias("of"), F.first("first.th").alias("th"), F.collect_list("one").alias("own")), "placed")
+    placed = written(placed.groupBy("rep").agg(F.first("m").alias("m"), F.first("first.doc_id").alias("of"), F.first("first.th").alias("th"), F.sort_array(F.collect_list("one")).alias("own")), "placed")
     tasks_all = placed.agg(F.sum(F.expr("aggregate(own, 0L, (n, x) -> n + 2 + size(x.pairs))"))).first()[0] or 0
     found = small(placed.withColumnRenamed("th", "of_th"), 4 * tasks_all)
     texts = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("rep", "m", "own", "text")

@@ -30,11 +30,32 @@ def clean_up(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: survives lost executors, is computed once."""
+#: Bytes of the tables that a result is made from, by the plan's own estimate, which one of its files stands for at least.
+FILE_BYTES = 2 << 20
+#: Files are made fewer only where they would be so many times as many.
+FEWER = 4
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, if those of its shuffles are many for what it reads.
+
+    On a local file system each file written has Hadoop start processes (chmod), and until such a child runs its own program it shares
+    the whole memory of the executor's JVM. The tasks that compute ``df`` stay as they are; its rows are shuffled once more.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    files = max(1, -(-read // FILE_BYTES))
+    return df.repartition(files) if files * FEWER <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def written(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: survives lost executors, is computed once.
+
+    gather: False for rows that come out differently if a task is repeated (ids by position), since those mustn't be shuffled on.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    (gathered(df) if gather else df).write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

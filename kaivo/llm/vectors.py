@@ -117,7 +117,7 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     rows = rows.withColumn("h1", F.when(F.col("fine"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("fine"), F.xxhash64(F.lit(7), F.reverse("v")))).withColumn("dim", F.size("v"))
     # copies are combined before the shuffle; one vector of each class goes on
     classes = rows.where("fine").groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "dim", "least", "m", "v"), "vector-classes")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "dim", "least", "m", "v"), "vector-classes", gather=False)
     blocks = written(classes.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "vector-blocks")
     reps = classes.join(small(blocks, 2 * blocks.count()), "dim").withColumn("b", F.pmod(F.xxhash64("rep", F.lit(3)), "nb").cast("int"))
     tiles = F.expr("transform(sequence(0, nb - 1), o -> struct(least(b, o) as b1, greatest(b, o) as b2, if(b > o, 1, 0) as side))")

@@ -514,6 +514,30 @@ def test_written_tables_are_deleted(spark):
         scratch.RUN = before
 
 
+def test_small_tables_are_few_files_however_many_the_partitions(spark):
+    from kaivo.llm import scratch
+
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        counts = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+        table = scratch.written(counts, "small")
+        assert len(table.inputFiles()) == 1  # each file is a task attempt and processes of its own
+        assert {tuple(r) for r in table.collect()} == {(k, 5) for k in range(1000)}
+        assert len(scratch.written(counts, "apart", gather=False).inputFiles()) > 32
+        large = spark.range(1 << 40)  # 8 TB by estimate: its partitions stay
+        assert scratch.gathered(large) is large
+        # ids by position are given once, and rows shuffled no further
+        nodes = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), (F.col("id") % 100).cast("string")) for k in range(12))).alias("text"))
+        found = neardup.join(nodes)
+        assert found.count() == 300 and found.where("kept").count() == 100 and found.where("n_links = 2").count() == 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_licenses_against_brute_force(spark, docs):
     made = [(1, "Licensed under CC BY-NC 4.0."), (2, "cc by cc-by CC/BY"), (3, "All rights, reserved. all rights  RESERVED"), (4, "Released under the MIT License."), (5, "general public licenses"), (6, None), (7, ""), (7, ""), (None, "cc by"), (8, "Éacc by"), (9, "the apache tribe; a license")]
     df = spark.createDataFrame(made, "doc_id long, text string").withColumn("w", F.lit("clash"))
