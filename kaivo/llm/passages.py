@@ -132,6 +132,25 @@ def _windows(anchored: DataFrame, words: int, gram: int) -> DataFrame:
     return anchored.mapInArrow(run, "hash long, proof int, doc_id long, version long, start int")
 
 
+#: Bits for each key that ``_among`` marks, and how many there are at most (16 MB); beyond that more rows pass that need not.
+MARKS, MOST_MARKS = 32, 1 << 27
+#: Bits of one value of Spark's bitmap functions.
+BITMAP = 1 << 15
+
+
+def _among(docs: DataFrame, keys: DataFrame, n: int, most: int = MOST_MARKS) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, version) is among the ``n`` of ``keys``, and a few others; none is moved.
+
+    Keys are marked in a bitmap of bounded size, which is broadcast, so that only rows with work to do are shuffled with their texts.
+    """
+    bits = min(most, max(BITMAP, 1 << (MARKS * n - 1).bit_length()))
+    mark = F.pmod(F.xxhash64("doc_id", "version"), F.lit(bits))
+    bitmaps = keys.select(mark.alias("mark")).groupBy(F.shiftright("mark", 15).alias("of")).agg(F.bitmap_construct_agg(F.col("mark").bitwiseAND(BITMAP - 1)).alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.shiftright(F.col("mark").bitwiseAND(BITMAP - 1), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, cast(mark & 7 as int))")) != 0
+    return docs.withColumn("mark", mark).join(F.broadcast(bitmaps), (F.shiftright("mark", 15) == F.col("of")) & marked, "left_semi").drop("mark")
+
+
 def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """Maximal passages of ``words`` words or more that stand in two documents or more: one row for each place.
 
@@ -144,9 +163,9 @@ def spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     docs = versioned(docs, F.col("doc_id"), F.col("text"), again(docs, F.col("doc_id"))).select("doc_id", "version", "text")
     ordered = _suffixes(docs, words, gram).repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "at")
-    anchors = _anchors(ordered, gram).groupBy("doc_id", "version").agg(F.collect_list("at").alias("at"))
+    anchors = written(_anchors(ordered, gram).groupBy("doc_id", "version").agg(F.collect_list("at").alias("at")), "anchors")
     # always a shuffle join: a third of a corpus can hold anchors, so neither side is small at any size
-    windows = _windows(docs.hint("merge").join(anchors, ["doc_id", "version"]).select("doc_id", "version", "at", "text"), words, gram)
+    windows = _windows(_among(docs, anchors, anchors.count()).hint("merge").join(anchors, ["doc_id", "version"]).select("doc_id", "version", "at", "text"), words, gram)
     order = ["hash", "proof", "doc_id", "version", "start"]
     # a range partitioning reads its input twice: windows are made again from the joined texts, which costs less than to keep them
     met = written(_met(windows.repartitionByRange("hash", "proof", "doc_id", "start").sortWithinPartitions(*order)), "met")
@@ -170,7 +189,7 @@ def _met(windows: DataFrame) -> DataFrame:
 
     hash, proof, doc_id, version, start, first_doc_id (the smallest that has the window), run. Equal windows stand next to each
     other; those at either end of a range can go on in the next, so all of them are given, with the smallest doc_id of the range and
-    a number of their run (from 1; else 0).
+    a number of their run (from 1; else 0). hash and proof are null elsewhere: only the ends are looked up by them.
     """
     names = ["hash", "proof", "doc_id", "version", "start"]
 
@@ -194,7 +213,10 @@ def _met(windows: DataFrame) -> DataFrame:
                 ends[0] = number
             first = False
             keep = np.repeat((least < most) | (ends > 0), n)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*cols, np.repeat(least, n), np.repeat(ends, n))], names=[*names, "first_doc_id", "run"])
+            number_of = np.repeat(ends, n)[keep]
+            inner = number_of == 0
+            proven = [pa.array(x[keep], mask=inner) for x in (h, p)]
+            return pa.RecordBatch.from_arrays([*proven, *(pa.array(x[keep]) for x in (*cols[2:], np.repeat(least, n))), pa.array(number_of)], names=[*names, "first_doc_id", "run"])
 
         for batch in batches:
             if not batch.num_rows:

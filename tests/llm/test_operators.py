@@ -629,3 +629,43 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, docs):
             assert now.columns == columns, name
         assert now.count() > 100
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_repeats_move_only_texts_that_hold_anchors_and_keep_no_hashes(spark, monkeypatch):
+    """What op6 keeps on disks: texts without an anchor stay where they are read; hashes are kept for the ends of ranges alone."""
+    shared = " ".join(f"s{k}" for k in range(80))
+    texts_ = [f"{shared} x{i}" if i % 100 == 0 else " ".join(f"w{i}x{k}" for k in range(60)) for i in range(1000)]
+    docs = spark.createDataFrame([*enumerate(texts_), (None, shared), (5000, None)], "doc_id long, text string")
+    seen, tables = [], {}
+    moved, stored = passages._windows, passages.written
+
+    def windows(anchored, *args):
+        plan = anchored._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((anchored.count(), "LeftSemi" in plan))
+        return moved(anchored, *args)
+
+    def written(df, name, **kwargs):
+        tables[name] = stored(df, name, **kwargs)
+        return tables[name]
+
+    monkeypatch.setattr(passages, "_windows", windows)
+    monkeypatch.setattr(passages, "written", written)
+    found = passages.spans(docs).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.duplicate, r.first_doc_id) for r in found} == {(i, 0, 80, i > 0, 0) for i in range(0, 1000, 100)}
+    assert seen[0][0] >= 10 and seen[0][1]  # filtered before the shuffle
+    met = tables["met"]
+    assert met.where("run = 0").count() > 0 and met.where("run = 0 and (hash is not null or proof is not null)").isEmpty()
+    assert met.where("run > 0 and (hash is null or proof is null)").isEmpty()
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15, 64])
+def test_no_key_is_lost_by_the_bitmap(spark, most):
+    """Every key passes at any size of the bitmap; with enough bits few others do."""
+    docs = spark.range(20_000).select((F.col("id") * 7919 - 5000).alias("doc_id"), (F.col("id") % 3 - 1).alias("version"), F.col("id").cast("string").alias("text"))
+    keys = docs.where("text % 10 = 3").select("doc_id", "version")
+    found = passages._among(docs, keys, keys.count(), most)
+    assert found.columns == docs.columns
+    assert keys.exceptAll(found.select("doc_id", "version")).isEmpty()
+    if most == 1 << 27:
+        assert found.count() < 3000
+    assert passages._among(docs, keys.limit(0), 0, most).isEmpty()
