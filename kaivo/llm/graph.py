@@ -23,18 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (two long columns), for each node that has an edge.
 
-    Nulls and loops are no edges; repeated edges count once; an empty table gives no rows.
+    Nulls and loops are no edges; repeated edges count once; an empty table gives no rows. rows: about how many edges
+    there are, if the caller has counted them.
     """
     a, b = edges.columns
-    now = written(edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now = written(edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", rows=rows)
     state = None
     while True:
         big = _star(now, True).where("u <> v").distinct()
-        now = written(_star(big, False).where("u > v").distinct(), "star")
+        now = written(_star(big, False).where("u > v").distinct(), "star", rows=rows)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         state = tuple(seen)
+        rows = rows and seen[0]

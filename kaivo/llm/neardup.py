@@ -301,13 +301,14 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, recall: f
     classes = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first"), F.count("*").alias("m"), F.first("labels").alias("labels"))
     # gathered before they get ids: a repeated task gives rows other ids
     classes = written(gathered(classes).select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "n", "m", "first", "labels"), "classes", gather=False)
+    many = classes.count()
 
     # the forest: each trie's signatures in order, nodes from neighbours' common prefixes
     steps = F.element_at(F.array(*(F.lit(int(x)) for x in need)), (F.least("n", F.lit(MANY)) + 1).cast("int"))
     entries = classes.where("labels is not null").select("rep", steps.alias("need"), "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     entries = entries.select("tree", F.expr(f"substring(labels, tree * {depth} + 1, {depth})").alias("label"), "need", "rep")
     entries = entries.repartition("tree", F.expr(f"substring(label, 1, {base})")).sortWithinPartitions("tree", "label", "rep")
-    nodes = written(_nodes(entries, base), "nodes")
+    nodes = written(_nodes(entries, base), "nodes", rows=many)
     members = nodes.groupBy("node").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x2"), F.min("tree").alias("t"))
     kept = members.groupBy("c", "x1", "x2").agg(F.min(F.struct("t", "node")).alias("one")).select("one.node")
 
@@ -334,12 +335,12 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, recall: f
     tasks = sets.select("rep", "m", "sh", F.col("own.tree").alias("at"), F.col("own.node").alias("of"), F.explode("own").alias("o")).select("rep", "m", "sh", "at", "of", "o.tree", "o.node", F.explode("o.pairs").alias("p"))
     tasks = tasks.select(F.xxhash64("node", "p.s1", "p.b1", "p.s2", "p.b2").alias("task"), "rep", F.col("p.side").cast("long").alias("side"), "m", F.expr("p.s1 = p.s2 and p.b1 = p.b2").alias("own"), "tree", "at", "of", "sh")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "side", "rep")
-    verified = written(_verified(tasks, threshold, trees), "verified")
+    verified = written(_verified(tasks, threshold, trees), "verified", rows=tasks_all)
 
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(verified.where("rep <> root").select("rep", "root"))
+    linked = components(verified.where("rep <> root").select("rep", "root"), verified.count())
     groups = classes.select("rep", "h1", "h2", "n", "m", "first").join(links, "rep", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    groups = written(groups.withColumn("component", F.coalesce("component", "rep")), "groups")
+    groups = written(groups.withColumn("component", F.coalesce("component", "rep")), "groups", rows=many)
     least = groups.where("component <> rep or links > 0").groupBy("component").agg(F.min("first").alias("least"))
     of_class = groups.join(least, "component", "left").select("h1", "h2", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("least", "first").alias("least"))
     rows = sig.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2")).join(of_class, ["h1", "h2", "n"], "left")

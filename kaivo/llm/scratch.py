@@ -36,26 +36,48 @@ FILE_BYTES = 2 << 20
 FEWER = 4
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``df`` in fewer partitions, if those of its shuffles are many for what it reads.
+def together(docs: DataFrame) -> DataFrame:
+    """``docs`` in no more partitions than one for FILE_BYTES, by the plan's own estimate: small ones are read together, none is shuffled.
 
-    On a local file system each file written has Hadoop start processes (chmod), and until such a child runs its own program it shares
+    A result made of ``docs`` without a shuffle then isn't many small files, whose processes are told of in ``gathered``.
+    """
+    read = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(max(1, min(1 << 20, -(-read // FILE_BYTES))))
+
+
+#: Rows of a narrow table (some numbers each) that one of its files stands for at least.
+FILE_ROWS = 1 << 17
+
+
+def gathered(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in fewer partitions, if those of its shuffles are many for what it reads, or for its ``rows``.
+
+    rows: about how many rows a table of a few numbers has, if the caller has counted them. On a local file system each file written has Hadoop start processes (chmod), and until such a child runs its own program it shares
     the whole memory of the executor's JVM. The tasks that compute ``df`` stay as they are; its rows are shuffled once more.
     """
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None and rows // FILE_ROWS < shuffled:
+        return df.repartition(1 + rows // FILE_ROWS)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     files = max(1, -(-read // FILE_BYTES))
-    return df.repartition(files) if files * FEWER <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(files) if files * FEWER <= shuffled else df
+
+
+#: Hadoop's options for writing our own tables: on a local file system without checksum files, for each of which it starts a process
+#: (chmod) more, and without the file that marks a job's end. Other file systems aren't concerned but for the latter.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
-def written(df: DataFrame, name: str, gather: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, gather: bool = True, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: survives lost executors, is computed once.
 
+    rows: as in ``gathered``.
     gather: False for rows that come out differently if a task is repeated (ids by position), since those mustn't be shuffled on.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
-    (gathered(df) if gather else df).write.option("compression", "zstd").parquet(at)
+    (gathered(df, rows) if gather else df).write.options(compression="zstd", **PLAIN).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

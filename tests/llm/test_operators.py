@@ -669,3 +669,35 @@ def test_no_key_is_lost_by_the_bitmap(spark, most):
     if most == 1 << 27:
         assert found.count() < 3000
     assert passages._among(docs, keys.limit(0), 0, most).isEmpty()
+
+
+def test_own_tables_and_stages_are_few_plain_files(spark, tmp_path):
+    """Each file written to a local file system starts processes that count an executor's memory twice."""
+    import os
+
+    import corpus_pipeline
+    from kaivo.llm import graph, scratch
+
+    table = scratch.written(spark.range(100), "plain", gather=False)
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert table.count() == 100 and all(x.endswith(".parquet") for x in os.listdir(folder))  # no checksums, no mark
+    wide = spark.range(0, 5000, 1, 64)
+    assert wide.rdd.getNumPartitions() == 64
+    assert len(scratch.written(wide, "counted", rows=5000).inputFiles()) == 1
+    assert scratch.gathered(spark.range(0, 1 << 40, 1, 64), rows=1 << 40).rdd.getNumPartitions() == 64
+    edges = wide.select(F.col("id").alias("a"), (F.col("id") % 10).alias("b"))
+    found = graph.components(edges, 5000)
+    assert found.count() == 5000 and found.where("component = node % 10").count() == 5000
+    # small partitions of a stage's input are read together, large ones stay
+    spark.createDataFrame([(k, f"the {k} of the and a house {k}", "en", "s") for k in range(64)], "doc_id long, text string, lang string, source string").repartition(64).write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        assert docs.rdd.getNumPartitions() > 32
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert len(scratch.written(stage(spark, docs, ""), "stage", gather=False).inputFiles()) <= 2
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    large = spark.range(0, 1 << 40, 1, 64)
+    assert scratch.together(large).rdd.getNumPartitions() == 64
