@@ -84,13 +84,13 @@ class Texts:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (in words) at which k words of one row begin, and the hashes of those k words."""
-        g, m = self.h, 1
+        g, m, power = self.h, 1, 1  # power: above those of all words so far, so that no two words share one
         for bit in bin(k)[3:]:
-            g = _joined(g, g, m)
-            m *= 2
+            g = _joined(g, g, m, power)
+            m, power = 2 * m, 2 * power
             if bit == "1":
-                g = _joined(g, self.h, m)
-                m += 1
+                g = _joined(g, self.h, m, power)
+                m, power = m + 1, 2 * power
         n = max(0, len(self.wd) - k + 1)
         at = np.flatnonzero(self.wd[:n] == self.wd[k - 1 : k - 1 + n])
         return at, mixed(g[at])
@@ -117,10 +117,10 @@ class Texts:
         return total[0]
 
 
-def _joined(left: np.ndarray, right: np.ndarray, m: int) -> np.ndarray:
+def _joined(left: np.ndarray, right: np.ndarray, m: int, power: int) -> np.ndarray:
     """left's m-word values followed by right's at the place m words on; hashes that run over a row's end are never used."""
     n = len(left) - m
-    scale = np.uint64(pow(0xD6E8FEB86659FD93, m, 1 << 64))
+    scale = np.uint64(pow(0xD6E8FEB86659FD93, power, 1 << 64))
     out = np.zeros(len(left), dtype=np.uint64)
     if n > 0:
         out[:n] = left[:n] * scale + right[m : m + n]

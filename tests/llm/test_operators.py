@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -701,3 +702,14 @@ def test_own_tables_and_stages_are_few_plain_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     large = spark.range(0, 1 << 40, 1, 64)
     assert scratch.together(large).rdd.getNumPartitions() == 64
+
+
+@pytest.mark.parametrize("k", [3, 5, 6, 16, 25, 50])
+def test_hashes_of_grams_tell_any_two_words_in_place(k):
+    """Words that change places make another gram; a window of 50 with two neighbours exchanged was once taken for equal."""
+    words = [f"w{i}" for i in range(k)]
+    rows = [words] + [[words[j] if x == i else words[i] if x == j else w for x, w in enumerate(words)] for i in range(k) for j in range(i + 1, k)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(r) for r in rows])], names=["text"])
+    for _, t in texts.slices(iter([batch])):
+        t.hashed_words()
+        assert len(np.unique(t.grams(k)[1])) == len(rows) == t.n
